@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +80,14 @@ def texts(batch: pa.RecordBatch, text: str = "text") -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def per_worker(key, make):
+    """``make()`` once for each Python worker, not for each task: memos and automata outlive a task."""
+    home = sys.modules.setdefault("_quire_worker", types.ModuleType("_quire_worker")).__dict__
+    if key not in home:
+        home[key] = make()
+    return home[key]
+
+
 class Memo(dict):
     """A dictionary that fills itself through ``make`` and starts anew at ``most`` entries, so its memory is bounded."""
 
@@ -88,3 +100,18 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def word_memo() -> Memo:
+    """word -> the 8 bytes of its hash."""
+    return per_worker("words", lambda: Memo(xxhash.xxh3_64_digest, 1_000_000))
+
+
+def sample_share(counts: dict, most: int) -> dict:
+    """For each class the share of rows, in millionths of the hash range, that gives about ``most`` rows."""
+    return {k: min(1_000_000, most * 1_000_000 // max(n, 1)) for k, n in counts.items()}
+
+
+def hash_below(key: str, share):
+    """Whether a row is in the sample: its id's hash decides, so every run draws the same rows."""
+    return F.pmod(F.xxhash64(F.col(key), F.lit(29)), F.lit(1_000_000)) < share

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, slices, texts, written
+from quire.llm.common import Memo, per_worker, slices, texts, written
 
 #: Unicode white space, at which pre-tokenization splits.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -93,9 +93,23 @@ def cut(n: int, capacity: int, slack: float) -> list[tuple[int, int]]:
     return pieces
 
 
+def _memo(path: str) -> Memo:
+    encode = chunk_ids(path)
+    marks = {c: encode(c) for c in ".,;:!?"}
+
+    def make(chunk: str) -> bytes:
+        # Letters and a closing mark are tokens apart, so the word is looked up without it.
+        if chunk[-1] in marks and chunk[:-1].strip(" ").isalpha():
+            return memo[chunk[:-1]] + marks[chunk[-1]]
+        return encode(chunk)
+
+    memo = Memo(make, 1_000_000)
+    return memo
+
+
 def _tokenize(path: str, capacity: int, slack: float, end_id: int):
     def run(batches):
-        memo, chunks = Memo(chunk_ids(path)), re.compile(_CHUNK).findall
+        memo, chunks = per_worker(("ids", path), lambda: _memo(path)), re.compile(_CHUNK).findall
         take, end = memo.__getitem__, np.array([end_id], "<u4").tobytes()
         worker, seen = TaskContext.get().partitionId(), {}
         plans = Memo(lambda n: cut(n, capacity, slack))

@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, discard, slices, texts, written
+from quire.llm.common import discard, slices, texts, word_memo, written
 from quire.llm.minhash_kernel import Signer, jaccard_at_least, shingle_sets
 
 
 def _signatures(words_each: int, bands: int, rows: int, bits: int):
     def run(batches):
-        memo, signer = Memo(xxhash.xxh3_64_digest), Signer(bands, rows, bits)
+        memo, signer = word_memo(), Signer(bands, rows, bits)
         for part in slices(batches):
             sets = shingle_sets(texts(part), words_each, memo)
             signs = [signer.sign(s) if len(s) else None for s in sets]
@@ -58,7 +58,7 @@ def _texts_of_nodes(words_each: int):
     """Keep the rows whose text really has the node's set (rows may repeat an id)."""
 
     def run(batches):
-        memo = Memo(xxhash.xxh3_64_digest)
+        memo = word_memo()
         for part in slices(batches):
             nodes = part.column(part.schema.get_field_index("node")).to_pylist()
             sets = shingle_sets(texts(part), words_each, memo)
@@ -70,7 +70,7 @@ def _texts_of_nodes(words_each: int):
 
 def _exact(words_each: int, percent: int):
     def run(batches):
-        memo = Memo(xxhash.xxh3_64_digest)
+        memo = word_memo()
         for part in slices(batches, 2 << 20, "text_a"):
             a = shingle_sets(texts(part, "text_a"), words_each, memo)
             b = shingle_sets(texts(part, "text_b"), words_each, memo)
