@@ -4,14 +4,14 @@ Method. Each row has a 64-bit sort key: 48 bits of its text's hash, so that equa
 of a hash of its id and row, so that a large group of equal texts can still be cut. Splitters are searched for on
 the key line: each round counts the exact bytes and rows below candidate boundaries (a radix grid inside the cells
 that still hold a splitter, all partitions counting at once with map-side partials) and keeps the cell around
-each wanted byte position, until all splitters are within ``tolerance`` of the mean shard, or keys are single.
+each wanted byte position, until all splitters are within ``tolerance`` of a mean range (a shard is ``ranges_each`` ranges), or keys are single.
 Then the rows are exchanged once by key range and numbered inside their ranges.
 
 Scale. A shard is a run of many key ranges, so no task holds a shard. A round brings at most
 ``splitters * 256`` counts to the driver. The ranges and their row offsets go to the tasks as one broadcast table
 with a row for each splitter (``shards * ranges_each`` at most, a parameter). Rows carry no text in the exchange.
 
-Law. ``bytes``: shard sizes differ by the tolerance and at most one row. Defined cases: a null text has no bytes (size
+Law. ``bytes``: shard sizes differ by twice the tolerance, or by a row where one row is larger. Defined cases: a null text has no bytes (size
 1) and a null CRC; a null doc_id is a row as any other; repeated rows are kept, each with its own slot; an empty
 table gives no rows. Other columns are ignored unless listed in ``keep``.
 """
@@ -26,11 +26,6 @@ from quire.llm.common import written
 BITS = 8
 
 
-def _cell(depth: int):
-    """The key's first ``depth * BITS`` bits, as an unsigned number."""
-    return F.shiftrightunsigned("key", 64 - depth * BITS)
-
-
 def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int, int, int]]:
     """``parts - 1`` boundaries on the unsigned key line of ``keys(key, size)``: (first key above, bytes below, rows below)."""
     total = keys.agg(F.sum("size")).first()[0] or 0
@@ -41,13 +36,14 @@ def splitters(keys: DataFrame, parts: int, tolerance: float) -> list[tuple[int,
     # cell -> (bytes below it, rows below it, splitters wanted inside it)
     open_cells = {0: (0, 0, list(range(1, parts)))}
     for depth in range(1, 64 // BITS + 1):
-        grid = keys.withColumn("cell", _cell(depth))
-        if depth > 1:
-            grid = grid.withColumn("parent", _cell(depth - 1)).where(F.col("parent").isin(sorted(open_cells)))
-        counts = grid.groupBy("cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+        digit = F.shiftrightunsigned("key", 64 - depth * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
+        # The parent is an unsigned number of at most 56 bits, so it stays positive.
+        parent = F.shiftrightunsigned("key", 64 - (depth - 1) * BITS) if depth > 1 else F.lit(0).cast("long")
+        grid = keys.select(parent.alias("parent"), digit.alias("digit"), "size").where(F.col("parent").isin(sorted(open_cells)))
+        counts = grid.groupBy("parent", "digit").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
         children: dict[int, list] = {}
         for r in counts:
-            children.setdefault(r["cell"] >> BITS, []).append((r["cell"], r["bytes"], r["rows"]))
+            children.setdefault(r["parent"], []).append((r["parent"] << BITS | r["digit"], r["bytes"], r["rows"]))
         following: dict[int, tuple[int, int, list[int]]] = {}
         for parent, (below, rows, wanted) in open_cells.items():
             for cell, size, n in sorted(children.get(parent, ())):
@@ -72,7 +68,7 @@ def histogram_shards(
     *,
     shards: int = 8,
     ranges_each: int = 32,
-    tolerance: float = 0.001,
+    tolerance: float = 0.01,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Each row of ``docs(doc_id, text)`` with size, text_crc32, shard and its slot there; ``keep`` names columns to carry."""
@@ -87,7 +83,7 @@ def histogram_shards(
     own = F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 48)
     base = base.withColumn("key", F.col("text_hash").bitwiseAND(F.lit(-65536)).bitwiseOR(own))
     base = written(base.drop("text_hash"), "keys")
-    found = splitters(base.select("key", "size"), shards * ranges_each, tolerance / ranges_each)
+    found = splitters(base.select("key", "size"), shards * ranges_each, tolerance)
     spark = docs.sparkSession
     # Splitters that fall on one key (repeated rows alone can do that) give empty ranges.
     starts = [(0, 0, 0), *found]
