@@ -151,14 +151,15 @@ class Model:
         nodes = []
         for d, (gram, n) in enumerate(counts):
             context, byte = gram >> np.uint64(8), gram & np.uint64(255)
-            keys, ones = [], []
-            for k in range(8):
+            level = []
+            for k in range(8):  # nodes of different bit positions are different, so each is summed alone
                 prefix = (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k))
-                keys.append(_node(context, prefix, d))
-                ones.append((byte >> np.uint64(7 - k)) & np.uint64(1))
-            keys, bit, weight = np.concatenate(keys), np.concatenate(ones).astype(bool), np.tile(n, 8).astype(float)
-            unique, at = np.unique(keys, return_inverse=True)
-            nodes.append([unique, np.bincount(at, weight * ~bit, len(unique)), np.bincount(at, weight * bit, len(unique))])
+                bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
+                unique, at = np.unique(_node(context, prefix, d), return_inverse=True)
+                level.append((unique, np.bincount(at, n * ~bit, len(unique)), np.bincount(at, n * bit, len(unique))))
+            key = np.concatenate([x[0] for x in level])
+            order = np.argsort(key)
+            nodes.append([key[order], *(np.concatenate([x[i] for x in level])[order] for i in (1, 2))])
         stop = [None] * len(nodes)
         up_w = up_0 = up_1 = None
         parents = [None]
@@ -251,7 +252,7 @@ class Fitted:
         self.tree, self.words, self.n, self.v, self.frequent = tree, words, n, v, frequent
 
 
-def fit(train: DataFrame, *, depth: int = 5, most_grams: int = 1 << 21, most_words: int = 1 << 19) -> Fitted:
+def fit(train: DataFrame, *, depth: int = 5, most_grams: int = 1 << 19, most_words: int = 1 << 18) -> Fitted:
     """Count over all of ``train(text)`` and weigh the tree."""
     parts = train.select("text").mapInArrow(_count(depth), "kind byte, key long, n long")
     counted = written(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")

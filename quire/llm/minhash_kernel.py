@@ -84,6 +84,13 @@ class Signer:
         return keys.view(np.int64), np.bitwise_or.reduce(fields, axis=1).view(np.int64)
 
 
+def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``bits`` cells the shingles fall into, as int64 words."""
+    cells = np.zeros(bits, np.uint8)
+    cells[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(cells, bitorder="little").view(np.int64)
+
+
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, on sorted distinct arrays; empty sets link with nothing."""
     if not len(a) or not len(b):

@@ -4,7 +4,8 @@ Method. Every text becomes its set of distinct word shingles and a MinHash signa
 functions. Band keys come from full minima; of each minimum only the ``bits`` low bits stay, packed into
 64-bit words. Texts with equal shingle sets are one *node*. Nodes that share a band key are candidates; the
 collision-corrected estimate ``(match - 2**-bits) / (1 - 2**-bits)``, from bit counts of packed words, and the
-ratio of set sizes thin them out, and the full sets decide.
+ratio of set sizes thin them out; so does a bound that never errs: a cell of a hashed bitmap that one set fills and the
+other doesn't is a shingle they don't share. The full sets decide.
 
 No group is expanded into its pairs. First every bucket is compared with one representative, the node with the
 most bucket mates (it sits in the middle of its group), and the links found are closed into components. Only
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import discard, slices, texts, word_memo, written
-from quire.llm.minhash_kernel import Signer, jaccard_at_least, shingle_sets
+from quire.llm.minhash_kernel import Signer, bitmap, jaccard_at_least, shingle_sets
 
 
-def _signatures(words_each: int, bands: int, rows: int, bits: int):
+def _signatures(words_each: int, bands: int, rows: int, bits: int, cells: int):
     def run(batches):
         memo, signer = word_memo(), Signer(bands, rows, bits)
         for part in slices(batches):
@@ -47,8 +48,9 @@ def _signatures(words_each: int, bands: int, rows: int, bits: int):
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                     pa.array([x and x[0] for x in signs], pa.list_(pa.int64())),
                     pa.array([x and x[1] for x in signs], pa.list_(pa.int64())),
+                    pa.array([bitmap(s, cells) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "node", "bands", "packed"],
+                names=["doc_id", "n_shingles", "node", "bands", "packed", "cells"],
             )
 
     return run
@@ -81,7 +83,7 @@ def _exact(words_each: int, percent: int):
 
 
 def _plausible(bits: int, k: int, percent: int, sigmas: float):
-    """The two cheap tests of a pair (columns na, pa, nb, pb): the size ratio, and the estimate with its allowance.
+    """The cheap tests of a pair: the size ratio, the estimate with its allowance, and the bitmaps' bound.
 
     The estimate's standard error at the threshold is known, so ``sigmas`` says how often a true link is lost.
     """
@@ -99,7 +101,14 @@ def _plausible(bits: int, k: int, percent: int, sigmas: float):
     floor = match - sigmas * (match * (1 - match) / k) ** 0.5
     most = int(k * (1 - floor)) + 1
     size = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return size & (reduce(lambda u, v: u + v, [differing(i) for i in range(words)]) <= most)
+    similar = reduce(lambda u, v: u + v, [differing(i) for i in range(words)]) <= most
+
+    def without(s: str, o: str):
+        alone = F.zip_with(f"cells_{s}", f"cells_{o}", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        return F.col(f"n_{s}") - F.aggregate(alone, F.lit(0), lambda a, n: a + n)
+
+    both = F.least(without("a", "b"), without("b", "a"))
+    return size & similar & (100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -140,6 +149,7 @@ def near_duplicates(
     rows: int = 6,
     bits: int = 2,
     sigmas: float = 6.0,
+    cells: int = 2048,
 ) -> DataFrame:
     """One row a row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
@@ -149,10 +159,10 @@ def near_duplicates(
     if bands * rows * bits % 64 or 64 % bits:
         raise ValueError("bands * rows * bits must fill whole 64-bit words")
     source = docs.select("doc_id", "text").where("doc_id is not null")
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node binary, bands array<long>, packed array<long>"
-    signed = written(source.mapInArrow(_signatures(words_each, bands, rows, bits), schema), "signed")
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node binary, bands array<long>, packed array<long>, cells array<long>"
+    signed = written(source.mapInArrow(_signatures(words_each, bands, rows, bits, cells), schema), "signed")
     nodes = written(
-        signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "bands", "packed"))),
+        signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "bands", "packed", "cells"))),
         "nodes",
     )
     keys = nodes.select("node", F.explode("bands").alias("key"))
@@ -161,7 +171,7 @@ def near_duplicates(
 
     def links_among(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that the full sets confirm."""
-        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("packed").alias(f"packed_{s}"))
+        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("packed").alias(f"packed_{s}"), F.col("cells").alias(f"cells_{s}"))
         plausible = pairs.join(side("a"), "a").join(side("b"), "b").where(_plausible(bits, bands * rows, percent, sigmas))
         plausible = written(plausible.select("a", "b"), "plausible")
         wanted = plausible.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
@@ -184,9 +194,9 @@ def near_duplicates(
     held = labelled.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = held.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     rest = labelled.join(main, "key")
-    right = nodes.select("node", "n_shingles", "packed")
+    right = nodes.select("node", "n_shingles", "packed", "cells")
     rest = written(rest.join(right, "node"), "rest")
-    side = lambda s, keep: rest.where(keep).select("key", F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("packed").alias(f"packed_{s}"), F.expr("comp = main").alias(f"main_{s}"))
+    side = lambda s, keep: rest.where(keep).select("key", F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("packed").alias(f"packed_{s}"), F.col("cells").alias(f"cells_{s}"), F.expr("comp = main").alias(f"main_{s}"))
     left, other = side("a", "comp <> main"), side("b", "true")
     meets = (left["key"] == other["key"]) & (F.col("comp_a") != F.col("comp_b")) & (F.col("main_b") | (F.col("a") < F.col("b")))
     across = left.join(other, meets & _plausible(bits, bands * rows, percent, sigmas)).select("a", "b").distinct()
