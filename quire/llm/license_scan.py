@@ -9,7 +9,8 @@ by an equi-join of its ancestor paths with those directories.
 
 Units without an *anchor* word are left out before they are split into words, and rightly: anchors are chosen
 so that what a template weighs outside its anchors is below ``least`` of its length; by Cauchy-Schwarz no
-unit without an anchor reaches ``least``. Nothing is capped or sampled.
+unit without an anchor reaches ``least``. So are whole texts whose words of no template outweigh the others, by counts and the
+same inequality. Nothing is capped or sampled.
 
 Scale. DataFrame functions only. The text is read once; only units with an anchor are exploded. Template terms (a
 constant) are broadcast. Aggregates are keyed by unit and term, by file, or by directory, with partial sums. Inheritance joins
@@ -53,6 +54,10 @@ TOKEN = r"[a-z0-9]+"
 STOP = frozenset("a all an and any are as at be by can for from has have in is it its may no not of on or that the these this to under use was with work you".split())
 
 
+def _any_of(words) -> str:
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(words)) + r")(?![a-z0-9])"
+
+
 class Templates:
     """The template vectors: idf of each term, unit weights, and anchors for ``least``."""
 
@@ -77,7 +82,18 @@ class Templates:
         self.anchors = sorted(anchors)
 
     def anchored(self, text):
-        return text.rlike(r"(?i)(?<![a-z0-9])(?:" + "|".join(self.anchors) + r")(?![a-z0-9])")
+        return text.rlike(_any_of(self.anchors))
+
+    def may_be_whole(self, text):
+        """False only where a whole text can't reach ``least``: words of no template outweigh the others.
+
+        With v template words and o others, the others' squares sum to ``o * unknown ** 2`` at least and the
+        template words' length is ``v * top`` at most.
+        """
+        own = F.regexp_count(text, F.lit(_any_of(self.idf)))
+        other = F.regexp_count(F.lower(text), F.lit(TOKEN)) - F.regexp_count(text, F.lit(_any_of([*self.idf, *STOP])))
+        most = (1 / self.least**2 - 1) * (max(self.idf.values()) / self.unknown) ** 2
+        return other <= most * own * own
 
 
 def matches(units: DataFrame, templates: Templates) -> DataFrame:
@@ -103,6 +119,7 @@ def license_scan(files: DataFrame, *, key: str = "doc_id", least: float = 0.75,
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("part")))
     found = rows.where(model.anchored(F.col("text"))).select("row", "text", F.filter(lines, lambda x: model.anchored(x["part"])).alias("lines"))
     one = F.array(F.struct(F.lit(-1).alias("i"), F.col("text").alias("part")))
+    one = F.when(model.may_be_whole(F.col("text")), one).otherwise(F.slice(one, 1, 0))
     units = found.select("row", F.explode(F.concat(one, "lines")).alias("u")).select(F.struct("row", F.col("u.i").alias("i")).alias("unit"), "u.part")
     hit = matches(units, model).select("unit.row", "unit.i", "licence", "cosine")
     best = lambda cond: F.min(F.when(cond, F.struct((-F.col("cosine")).alias("c"), "licence", "i")))
