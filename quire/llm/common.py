@@ -104,7 +104,7 @@ class Memo(dict):
 
 def word_memo() -> Memo:
     """word -> the 8 bytes of its hash."""
-    return per_worker("words", lambda: Memo(xxhash.xxh3_64_digest, 1_000_000))
+    return per_worker("words", lambda: Memo(xxhash.xxh3_64_digest, 200_000))
 
 
 def sample_share(counts: dict, most: int) -> dict:

@@ -89,7 +89,7 @@ class Table:
     """Open addressing over 64-bit keys, probed for whole arrays at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(2 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - max(4, int(1.5 * len(keys)).bit_length()))
         size = 1 << (64 - int(self.shift))
         self.keys, self.values = np.zeros(size, np.uint64), np.zeros((size, *values.shape[1:]), values.dtype)
         self.used, self.mask = np.zeros(size, bool), np.int64(size - 1)
