@@ -88,6 +88,15 @@ def per_worker(key, make):
     return home[key]
 
 
+def latest_per_worker(name: str, key: str, make):
+    """As :func:`per_worker`, but a worker holds one value a name: another key's value goes before the new one is made."""
+    home = sys.modules.setdefault("_quire_worker", types.ModuleType("_quire_worker")).__dict__
+    if home.get(name, (None,))[0] != key:
+        home.pop(name, None)
+        home[name] = key, make()
+    return home[name][1]
+
+
 class Memo(dict):
     """A dictionary that fills itself through ``make`` and starts anew at ``most`` entries, so its memory is bounded."""
 

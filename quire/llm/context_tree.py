@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, per_worker, slices, texts, word_memo, written
+from quire.llm.common import held_out, latest_per_worker, slices, texts, word_memo, written
 from quire.llm.minhash_kernel import mix64
 
 END = b"\n"
@@ -282,7 +282,7 @@ def _score(shared, key: str):
             depth, nodes, seen, (words, counts), n, v = shared.value
             return Scorer(depth, nodes, seen), Table(words, counts), n, v
 
-        scorer, frequent, n, v = per_worker(("tree", key), build)
+        scorer, frequent, n, v = latest_per_worker("tree", key, build)
         take = word_memo().__getitem__
         worker, row = TaskContext.get().partitionId(), 0
         floor = math.log10(n + v + 1)
