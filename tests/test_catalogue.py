@@ -6,7 +6,11 @@ import os
 import duckdb
 import pytest
 
-from quire.plans.catalogue import ORACLE_SQL, QUERIES
+from quire.plans import catalogue, layout
+from quire.streaming import sync
+
+QUERIES = catalogue.QUERIES | layout.QUERIES | sync.QUERIES
+ORACLE_SQL = catalogue.ORACLE_SQL | layout.ORACLE_SQL | sync.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 
