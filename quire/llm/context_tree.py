@@ -86,40 +86,49 @@ def _count(depth: int):
 
 
 class Table:
-    """Open addressing over 64-bit keys, probed for whole arrays at once."""
+    """Open addressing over distinct 64-bit keys, probed for whole arrays at once.
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    Only places in ``keys`` are stored anew, four bytes a slot; keys and values stay the arrays given.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, block: int = 1 << 18):
+        self.keys, self.values = keys, values
         self.shift = np.uint64(64 - max(4, int(1.5 * len(keys)).bit_length()))
-        size = 1 << (64 - int(self.shift))
-        self.keys, self.values = np.zeros(size, np.uint64), np.zeros((size, *values.shape[1:]), values.dtype)
-        self.used, self.mask = np.zeros(size, bool), np.int64(size - 1)
-        todo = np.arange(len(keys))
-        at = self._home(keys)
-        while len(todo):
-            free = ~self.used[at]
-            places, firsts = np.unique(at[free], return_index=True)
-            won = todo[free][firsts]
-            self.keys[places], self.values[places], self.used[places] = keys[won], values[won], True
-            left = np.ones(len(todo), bool)
-            left[np.flatnonzero(free)[firsts]] = False
-            todo, at = todo[left], (at[left] + 1) & self.mask
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.mask = np.int64(len(self.slots) - 1)
+        for i in range(0, len(keys), block):
+            todo = np.arange(i, min(i + block, len(keys)), dtype=np.int32)
+            at = self._home(keys[i : i + block])
+            while len(todo):
+                free = self.slots[at] < 0
+                self.slots[at[free]] = todo[free]
+                left = self.slots[at] != todo  # of several keys for a free slot one got it
+                todo, at = todo[left], (at[left] + 1) & self.mask
 
     def _home(self, keys):
         return (mix64(keys) >> self.shift).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, or -1."""
+        """The place of each key, or -1."""
         at = self._home(keys)
-        out = np.where(self.used[at] & (self.keys[at] == keys), at, -1)
-        todo = np.flatnonzero((out < 0) & self.used[at])
+        out = self.slots[at].astype(np.int64)
+        if not len(self.keys):
+            return out
+        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
         while len(todo):
             at[todo] = (at[todo] + 1) & self.mask
-            here = at[todo]
-            hit = self.used[here] & (self.keys[here] == keys[todo])
-            out[todo[hit]] = here[hit]
-            todo = todo[self.used[here] & ~hit]
+            here = self.slots[at[todo]]
+            out[todo] = here
+            todo = todo[(here >= 0) & (self.keys[here] != keys[todo])]
         return out
 
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its value as a float (0 if not)."""
+        place = self.find(keys)
+        there, out = place >= 0, np.zeros(len(keys))
+        out[there] = self.values[place[there]]
+        return there, out
+
 
 def _node(context: np.ndarray, prefix: np.ndarray, d: int) -> np.ndarray:
     """A node's key: depth, context bytes, and the bits so far behind a leading one."""
@@ -226,9 +235,8 @@ class Scorer:
         return total
 
     def score(self, gram: np.ndarray) -> np.ndarray:
-        slot = self.whole.find(gram)
-        out = self.whole.values[slot].astype(float)
-        missing = np.flatnonzero(slot < 0)
+        there, out = self.whole.look(gram)
+        missing = np.flatnonzero(~there)
         if len(missing):
             unseen, at = np.unique(gram[missing], return_inverse=True)
             out[missing] = self.by_bits(unseen)[at]
@@ -294,10 +302,9 @@ def _score(shared, key: str):
             lengths = np.array([len(w) + 1 for w in words])
             end = np.array([END_WORD], np.int64).tobytes()
             codes = np.frombuffer(b"".join([b"".join(map(take, w)) + end for w in words]), np.uint64)
-            slot = frequent.find(codes)
+            known, count = frequent.look(codes)
             at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            known = slot >= 0
-            value = np.where(known, np.log10(frequent.values[slot] + 1.0), 0.0)
+            value = np.log10(count + 1.0)
             rest = [codes[a : a + m][~known[a : a + m]].view(np.int64) for a, m in zip(at, lengths, strict=True)]
             ids = (worker << 40) + row + np.arange(len(words))
             row += len(words)
