@@ -8,7 +8,7 @@ node of the tree on a path stops surely. The code length per byte is -log2 of th
 
 What is gathered follows the corpus: byte (depth + 1)-grams and words are counted over all training texts, with map-side sums
 and one shuffle. The tree has a capacity, ``most_grams``: beyond it the rarest deep contexts are left to their parents (the smallest
-power of two as the least count that fits), so what goes to the driver and to the tasks is bounded by that parameter. Base scores need all word
+power of two as the least count of a context that fits), so what goes to the driver and to the tasks is bounded by that parameter. Base scores need all word
 counts: the ``most_words`` most frequent (again by a power of two) go to the tasks, occurrences of others join the count table by hash.
 
 Words are known by 64-bit hashes. Defined cases: a null text is empty, one end token; an empty training set gives N = V =
@@ -243,9 +243,13 @@ class Scorer:
         return out
 
 
-def _least_count(counted: DataFrame, most: int) -> int:
-    """The smallest power of two such that at most ``most`` rows of ``counted(n)`` reach it."""
-    size = dict(counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect())
+def _least_count(counted: DataFrame, most: int, rows=None) -> int:
+    """The smallest power of two such that the rows of ``counted(n)`` that reach it hold at most ``most`` rows.
+
+    ``rows`` says how many each counts for, one if not given.
+    """
+    rows = F.lit(1) if rows is None else rows
+    size = dict(counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.sum(rows)).collect())
     power, held = 64, 0
     while power > 0 and held + size.get(power - 1, 0) <= most:
         power -= 1
@@ -272,9 +276,12 @@ def fit(train: DataFrame, *, depth: int = 5, most_grams: int = 1 << 19, most_wor
     # The end counts as a word; a gram's last d + 1 bytes are a gram of depth d.
     each = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")) for d in range(depth + 1)])).alias("x")
     byte_counts = counted.where("kind = 0").select(each, "n").groupBy("x.d", "x.gram").agg(F.sum("n").alias("n"))
-    byte_counts = written(byte_counts, "grams")
-    least = _least_count(byte_counts, most_grams)
-    kept = byte_counts.where((F.col("n") >= least) | (F.col("d") == 0)).toArrow()
+    # A context is kept with all its bytes (256 at most) or not at all, so that no node takes a rare byte for an impossible one.
+    context = F.shiftrightunsigned("gram", 8).alias("context")
+    contexts = byte_counts.groupBy("d", context).agg(F.sum("n").alias("n"), F.collect_list(F.struct("gram", "n")).alias("bytes"))
+    contexts = written(contexts, "grams")
+    least = _least_count(contexts, most_grams, F.size("bytes"))
+    kept = contexts.where((F.col("n") >= least) | (F.col("d") == 0)).select("d", F.explode("bytes").alias("b")).select("d", "b.*").toArrow()
     d, gram, n = kept["d"].to_numpy(), kept["gram"].to_numpy().view(np.uint64), kept["n"].to_numpy()
     counts = []
     for level in range(depth + 1):
