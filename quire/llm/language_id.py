@@ -3,8 +3,10 @@
 Method. A text, lower-cased and with ASCII non-letters as blanks, becomes counts of hashed byte n-grams (1 to 3),
 weighted by 1 + log tf and inverse document frequency, and normalised. Each language has several centroids, from spherical
 k-means over a bounded sample of its labelled texts (``sample_each`` texts a language, a documented bound; document
-frequencies come from all of them). The nearest centroid by cosine gives the language. A text farther from its centroid
-than ``reach`` times the farthest of that language's sample is rejected: no learned language is near.
+frequencies come from all of them). The nearest centroid by cosine gives the language. A text too far from its centroid
+is rejected: no learned language is near. How far that is depends on how many different grams a text has (in powers of
+two), for short or repeating texts lie farther out: its cosine is under 1 / ``reach`` of what 95 % of that language's
+sampled texts of that class reach. A few junk labels so move nothing, and no bound falls to where every text passes.
 
 Scale. Two passes over the text: one counts document frequencies (a vector a task), one predicts. The model is
 ``dims * clusters * languages`` floats, whatever the corpus, and goes to the tasks with the closure. No shuffle of text.
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import hash_below, held_out, sample_share, slices, texts
 
 DIMS = 4096
+CLASSES = DIMS.bit_length()  # of a text, by the power of two of its different grams
 _BLANK = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]").search
 
@@ -62,6 +65,24 @@ def spherical_kmeans(x: np.ndarray, clusters: int, rounds: int = 12, seed: int =
     return centers
 
 
+def gram_classes(x: np.ndarray) -> np.ndarray:
+    """The class of each row, by how many grams it has, however often."""
+    return np.log2(np.maximum((x > 0).sum(axis=1), 1)).astype(int)
+
+
+def least_cosines(cosine: np.ndarray, classes: np.ndarray, reach: float, fewest: int = 20) -> np.ndarray:
+    """For each class the least cosine that isn't rejected; neighbouring classes are taken together up to ``fewest`` texts."""
+    out, begin = np.zeros(CLASSES), 0
+    for c in range(CLASSES):
+        inside = (classes >= begin) & (classes <= c)
+        rest = (classes > c).sum()
+        if c + 1 < CLASSES and (inside.sum() < fewest or rest < fewest):
+            continue
+        out[begin : c + 1] = np.quantile(cosine[inside], 0.05) / reach
+        begin = c + 1
+    return out
+
+
 def _frequencies(batches):
     total, n = np.zeros(DIMS, np.int64), 0
     for part in slices(batches, 2 << 20):
@@ -78,7 +99,7 @@ def _encode(batches):
 
 
 class Model:
-    """idf, unit centroids, the language of each, and the least cosine of each that isn't rejected."""
+    """idf, unit centroids, the language of each, and the least cosine of each, by class of text, that isn't rejected."""
 
     def __init__(self, idf, centroids, languages, least):
         self.idf, self.centroids, self.languages, self.least = idf, centroids, languages, least
@@ -87,11 +108,12 @@ class Model:
         has = np.array([_LETTER(t.decode()) is not None for t in raw])
         if not self.languages:
             return ["und"] * len(raw), np.zeros(len(raw)), np.ones(len(raw), bool)
-        near = weighted(gram_counts(raw), self.idf) @ self.centroids.T
+        counts = gram_counts(raw)
+        near = weighted(counts, self.idf) @ self.centroids.T
         best = near.argmax(axis=1)
         score = np.where(has, np.clip(near[np.arange(len(raw)), best], 0, 1), 0).astype(float)
         names = [self.languages[b] if h else "und" for b, h in zip(best, has, strict=True)]
-        return names, score, ~has | (score < np.asarray(self.least)[best])
+        return names, score, ~has | (score < np.asarray(self.least)[best, gram_classes(counts)])
 
 
 def fit(labelled: DataFrame, *, clusters: int = 4, sample_each: int = 400, reach: float = 1.4) -> Model:
@@ -113,10 +135,10 @@ def fit(labelled: DataFrame, *, clusters: int = 4, sample_each: int = 400, reach
     for lang in sorted(drawn):
         x = weighted(np.stack([np.frombuffer(b, np.float16) for b in sorted(drawn[lang])]).astype(np.float32), idf)
         own = spherical_kmeans(x, clusters)
-        farthest = np.arccos(np.clip((x @ own.T).max(axis=1), -1, 1)).max()
+        bounds = least_cosines((x @ own.T).max(axis=1), gram_classes(x), reach)
         centroids.append(own)
         languages += [lang] * len(own)
-        least += [float(np.cos(min(reach * farthest, np.pi / 2 * 0.98)))] * len(own)
+        least += [bounds] * len(own)
     return Model(idf, np.concatenate(centroids), languages, least)
 
 

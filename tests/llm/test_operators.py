@@ -215,6 +215,21 @@ def test_language(spark, empty):
     assert [r["lang_pred"] for r in language_id.identify(d.where("doc_id = 0"), none).collect()] == ["und"]
 
 
+def test_language_rejects_the_unlearned(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, words(rng, int(rng.integers(20, 200)), "en" if i % 2 else "fr"), "en" if i % 2 else "fr") for i in range(200)]
+    rows += [(200, "x", "en"), (201, "qq zz 0x1f", "fr")]  # a few junk labels must not widen the bounds
+    random = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n))
+    foreign = ["обычный русский текст о погоде и людях, которые живут в городе", "今天天气很好我们去公园散步看到很多人", "ένα ελληνικό κείμενο για τον καιρό"]
+    foreign += ["tämä on suomenkielinen teksti säästä ja ihmisistä jotka asuvat kaupungissa", random(10), random(200)]
+    foreign += [" ".join(f"{int(x):016x}" for x in rng.integers(0, 2**62, n)) for n in (5, 50)]
+    rows += [(300 + i, t * k, None) for i, (t, k) in enumerate((t, k) for t in foreign for k in (1, 8))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(d, language_id.fit(d.where("doc_id < 140 or doc_id in (200, 201)"))).collect()
+    assert [r["doc_id"] for r in got if not r["rejected"] and r["doc_id"] >= 300] == []
+    assert [r["doc_id"] for r in got if r["rejected"] and r["doc_id"] < 200] == []
+
+
 def test_context_tree(docs, texts, spark):
     train = docs.where("doc_id % 2 = 0")
     fitted = context_tree.fit(train, depth=2, most_words=8)
