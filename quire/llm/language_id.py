@@ -18,6 +18,7 @@ corpus without any labelled text gives ``und`` for all. Repeated rows and ids ar
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +95,8 @@ def _frequencies(batches):
 
 def _encode(batches):
     for part in slices(batches, 2 << 20):
-        rows = gram_counts(texts(part)).astype(np.float16)
-        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("lang")), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "counts"])
+        rows = gram_counts(texts(part)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("lang")), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["lang", "counts"])
 
 
 class Model:
@@ -133,7 +134,7 @@ def fit(labelled: DataFrame, *, clusters: int = 4, sample_each: int = 400, reach
         drawn.setdefault(r["lang"], []).append(bytes(r["counts"]))
     centroids, languages, least = [], [], []
     for lang in sorted(drawn):
-        x = weighted(np.stack([np.frombuffer(b, np.float16) for b in sorted(drawn[lang])]).astype(np.float32), idf)
+        x = weighted(np.stack([np.frombuffer(zlib.decompress(b), np.int32) for b in sorted(drawn[lang])]).astype(np.float32), idf)
         own = spherical_kmeans(x, clusters)
         bounds = least_cosines((x @ own.T).max(axis=1), gram_classes(x), reach)
         centroids.append(own)

@@ -230,6 +230,14 @@ def test_language_rejects_the_unlearned(spark):
     assert [r["doc_id"] for r in got if r["rejected"] and r["doc_id"] < 200] == []
 
 
+def test_language_learns_from_a_text_of_one_gram(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, words(rng, 60, "en" if i % 2 else "fr"), "en" if i % 2 else "fr") for i in range(160)] + [(200, "x" * 100_000, "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(d.where("doc_id between 100 and 159"), language_id.fit(d.where("doc_id < 100 or doc_id = 200"))).collect()
+    assert all(r["lang_pred"] == r["lang"] and not r["rejected"] and 0 < r["score"] <= 1 for r in got)
+
+
 def test_context_tree(docs, texts, spark):
     train = docs.where("doc_id % 2 = 0")
     fitted = context_tree.fit(train, depth=2, most_words=8)
