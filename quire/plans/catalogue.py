@@ -262,6 +262,12 @@ def _query(name: str):
     return run
 
 
-#: bench_contains searches whole texts; its plan, whole lines only, is left as the oracle's SQL.
-QUERIES = {name: _query(name) for name in PLANS} | {"bench_contains": bench_contains}
+def catalog_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that begin with 12, a source, or a word anywhere in the text, whatever its case."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.where("cast(doc_id as string) like '12%' or source = 'src3' or contains(lower(text), 'the')").select("doc_id", "source")
+
+
+#: These two search whole texts; their plans (whole lines, a prefix) are left as the oracle's SQL only.
+QUERIES = {name: _query(name) for name in PLANS} | {"bench_contains": bench_contains, "catalog_select": catalog_select}
 ORACLE_SQL = {name: plan(Duck()) for name, plan in PLANS.items()}

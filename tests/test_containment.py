@@ -1,4 +1,4 @@
-"""Passage containment against ``contains`` in DuckDB, in SQL of its own."""
+"""Searches of whole texts against ``contains`` in DuckDB, in SQL of its own, and Python."""
 
 import duckdb
 import pytest
@@ -23,3 +23,11 @@ def test_passages_anywhere(spark):
     got = contained_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "text string"))
     assert {tuple(r) for r in got.collect()} == {(1, 3), (2, 2), (3, 1), (None, 2), (6, 1)}
     assert contained_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "text string")).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_catalog_select_whole_texts(spark, sf):
+    sf_dir = f"/root/testdata/{sf}"
+    got = sorted(map(tuple, QUERIES["catalog_select"](spark, sf_dir).select("doc_id", "source").collect()), key=repr)
+    rows = duckdb.sql(f"select doc_id, source, text from '{sf_dir}/documents.parquet'").fetchall()
+    assert got == sorted(((i, s) for i, s, t in rows if str(i).startswith("12") or s == "src3" or "the" in (t or "").lower()), key=repr)
