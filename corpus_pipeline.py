@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.llm import attention_quality, language_id
 from quire.llm.common import written
@@ -33,11 +34,16 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group (five-word shingles, similarity 0.8 or more) the smallest doc_id stays, once."""
-    judged = near_duplicates(docs)
-    kept = judged.where("kept").select("doc_id", "n_shingles").dropDuplicates(["doc_id"])
-    one = docs.select(*COLUMNS).where("doc_id is not null").join(kept.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*COLUMNS).unionByName(docs.select(*COLUMNS).where("doc_id is null"))
+    """Of each near-duplicate group (five-word shingles, similarity 0.8 or more) the row of the smallest doc_id stays, once.
+
+    Rows are told apart by a number of their own, so different texts of one doc_id are judged each, and so are rows
+    without an id; a null counts as the largest.
+    """
+    rows = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    judged = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")
+    kept = rows.select("doc_id", "row").join(judged, "row").groupBy("component").agg(first).select("row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
