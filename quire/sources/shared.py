@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a fresh local folder where that is unset (tests)."""
+    """``spark.checkpoint.dir``; where that is unset, a fresh folder in local mode (tests) and an error on a cluster."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
