@@ -11,7 +11,7 @@ its encodings are fitted on the driver. Scoring is one map over the text, withou
 
 Defined cases. A null or word-less text has one empty passage and gets a score as any other. Unlabelled ids and null labels teach
 nothing; of repeated labels the least counts. Without labels of both classes every score is 0.5. Other columns are
-ignored; repeated rows are scored each.
+carried along, but for those named as results are; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quire.llm.common import hash_below, held_out, sample_share, slices, texts, word_memo
+from quire.llm.common import drawn_rows, fields, held_out, map_arrow, slices, texts, word_memo
 
 WORDS = 80
 CLASSES = 8
@@ -31,43 +30,43 @@ DIMS = CLASSES**3 + EXTRA
 
 def _classes() -> np.ndarray:
     """Byte -> class: other sign, lower, upper, digit, blank, sentence mark, symbol, beyond ASCII."""
-    lut = np.zeros(256, np.int64)
+    lut = np.zeros(256, np.int32)
     lut[97:123], lut[65:91], lut[48:58], lut[32], lut[128:] = 1, 2, 3, 4, 7
     lut[[ord(c) for c in ".,;:'\"-()?"]] = 5
     lut[[ord(c) for c in "#*$%&|<>!_=+/\\@~^{}[]"]] = 6
     return lut
 
 
-def encode(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def encode(raw: list[bytes], block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """Passage encodings (float32 rows) and the number of passages of each text."""
     lut, take = _classes(), word_memo().__getitem__
     words = [t.split() or [b""] for t in raw]
-    n = np.array([len(w) for w in words])
-    passages = -(-n // WORDS)
-    first = np.concatenate(([0], np.cumsum(passages)))
-    starts = np.concatenate(([0], np.cumsum(n)))
-    inside = np.arange(starts[-1]) - np.repeat(starts[:-1], n)
-    of_word = np.repeat(first[:-1], n) + inside // WORDS
-    total = int(first[-1])
-    sizes = np.array([len(x) for w in words for x in w]) + 1
-    blob = np.frombuffer(b"".join([b" ".join(w) + b" " for w in words]), np.uint8)
-    c = lut[blob]
-    of_byte = np.repeat(of_word, sizes)
-    same = of_byte[2:] == of_byte[:-2]
-    code = (of_byte[:-2] * CLASSES**3 + c[:-2] * CLASSES**2 + c[1:-1] * CLASSES + c[2:])[same]
-    shape = np.bincount(code, minlength=total * CLASSES**3).reshape(total, -1).astype(np.float32)
-    shape = np.sqrt(shape / np.maximum(shape.sum(axis=1, keepdims=True), 1))
-    held = np.bincount(of_word, minlength=total)
-    ids = np.frombuffer(b"".join([take(x) for w in words for x in w]), np.uint64) >> np.uint64(24)
-    again = np.zeros(len(ids))
-    again[1:] = (ids[1:] == ids[:-1]) & (of_word[1:] == of_word[:-1])
-    repeat = np.bincount(of_word, again, minlength=total) / held
-    keyed = np.sort(of_word.astype(np.uint64) << np.uint64(40) | ids)
-    fresh = np.concatenate(([True], keyed[1:] != keyed[:-1]))
-    distinct = np.bincount((keyed[fresh] >> np.uint64(40)).astype(np.int64), minlength=total) / held
-    length = np.bincount(of_word, sizes - 1, minlength=total) / held / 10
-    extra = np.stack([repeat, distinct, length, np.log1p(held) / 5], axis=1)
-    return np.concatenate([shape, extra], axis=1).astype(np.float32), passages
+    passages = np.array([-(-len(w) // WORDS) for w in words])
+    cut = [w[i : i + WORDS] for w in words for i in range(0, len(w), WORDS)]
+    del words
+    out = np.empty((len(cut), DIMS), np.float32)
+    for begin in range(0, len(cut), block):
+        part = cut[begin : begin + block]
+        total = len(part)
+        held = np.array([len(w) for w in part])
+        of_word = np.repeat(np.arange(total, dtype=np.int32), held)
+        sizes = np.array([len(x) for w in part for x in w], np.int32) + 1
+        c = lut[np.frombuffer(b" ".join([b" ".join(w) for w in part]) + b" ", np.uint8)]
+        of_byte = np.repeat(of_word, sizes)
+        same = of_byte[2:] == of_byte[:-2]
+        code = (of_byte[:-2] * CLASSES**3 + c[:-2] * np.int32(CLASSES**2) + c[1:-1] * np.int32(CLASSES) + c[2:])[same]
+        shape = np.bincount(code, minlength=total * CLASSES**3).reshape(total, -1).astype(np.float32)
+        out[begin : begin + total, :-EXTRA] = np.sqrt(shape / np.maximum(shape.sum(axis=1, keepdims=True), 1))
+        ids = np.frombuffer(b"".join([take(x) for w in part for x in w]), np.uint64) >> np.uint64(24)
+        again = np.zeros(len(ids))
+        again[1:] = (ids[1:] == ids[:-1]) & (of_word[1:] == of_word[:-1])
+        keyed = np.sort(of_word.astype(np.uint64) << np.uint64(40) | ids)
+        fresh = np.concatenate(([True], keyed[1:] != keyed[:-1]))
+        distinct = np.bincount((keyed[fresh] >> np.uint64(40)).astype(np.int64), minlength=total)
+        # A word of 200 bytes is as long as can be told, so that no word outweighs the rest of the model.
+        length = np.bincount(of_word, np.minimum(sizes - 1, 200), minlength=total)
+        out[begin : begin + total, -EXTRA:] = np.stack([np.bincount(of_word, again, minlength=total) / held, distinct / held, length / held / 10, np.log1p(held) / 5], axis=1)
+    return out, passages
 
 
 class Model:
@@ -126,23 +125,21 @@ def _bags(batches):
     for part in slices(batches):
         x, passages = encode(texts(part))
         ends = np.cumsum(passages)
-        rows = [x[e - n : e].astype(np.float16).tobytes() for e, n in zip(ends, passages, strict=True)]
+        rows = [x[e - n : e].tobytes() for e, n in zip(ends, passages, strict=True)]
         yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("quality")), pa.array(rows, pa.binary())], names=["quality", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_each: int = 1000) -> Model:
-    """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``, on about ``sample_each`` documents a class."""
-    marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marks = marks.join(docs.select("doc_id").distinct(), "doc_id")
-    counts = dict(marks.groupBy("quality").count().collect())
-    share = sample_share(counts, sample_each)
-    if len(share) < 2:
+def fit(docs: DataFrame, labels: DataFrame, *, sample_each: int = 1000, most_bytes: int = 1 << 16) -> Model:
+    """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``, on about ``sample_each`` documents a class.
+
+    A document that teaches has at most ``most_bytes`` bytes, so the driver holds at most ``2 * sample_each * most_bytes`` of
+    text's encodings, whatever the corpus.
+    """
+    found = map_arrow(drawn_rows(docs, labels, sample_each, most_bytes), _bags, "quality int, bag binary").collect()
+    rows = sorted((r["quality"], bytes(r["bag"])) for r in found)
+    if len({q == 1 for q, _ in rows}) < 2:
         return Model(None)
-    chosen = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("quality")]
-    drawn = docs.sparkSession.createDataFrame(marks.where(hash_below("doc_id", chosen)).collect(), marks.schema)
-    bags = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("quality", "text")
-    rows = sorted((r["quality"], bytes(r["bag"])) for r in bags.mapInArrow(_bags, "quality int, bag binary").collect())
-    bags = [np.frombuffer(b, np.float16).reshape(-1, DIMS).astype(np.float32) for _, b in rows]
+    bags = [np.frombuffer(b, np.float32).reshape(-1, DIMS) for _, b in rows]
     return fit_bags(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([float(q == 1) for q, _ in rows]))
 
 
@@ -157,9 +154,9 @@ def _score(model: Model):
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs(text, ...)`` with score and predicted; those names must be free."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(model), f"{fields}, score double, predicted int")
+    """``docs(text, ...)`` with score and predicted; columns of ``docs`` with these names make way."""
+    docs = docs.drop("score", "predicted")
+    return map_arrow(docs, _score(model), f"{fields(docs)}, score double, predicted int")
 
 
 def op6_attention_quality(spark, sf_dir: str) -> DataFrame:

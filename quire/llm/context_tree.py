@@ -1,18 +1,26 @@
 """Operator 8: language-model scores by context-tree weighting over bytes.
 
 Method. A text is its words (A-Z lower-cased), a blank after each but the last, and an end byte. Each byte is eight binary
-decisions; a decision's node is the last d bytes and the bits so far, for every d from 0 to ``depth``. A node's estimate is
-Krichevsky-Trofimov's, (n + 1/2) / (n0 + n1 + 1). Weighting mixes all depths: a node stops with probability
+decisions; a decision's node is the last d bytes and the bits so far, for every d from 0 to ``depth`` (7 at most). A node's
+estimate is Krichevsky-Trofimov's, (n1 + 1/2) / (n0 + n1 + 1). Weighting mixes all depths: a node stops with probability
 ``P_e / (P_e + prod P_w(children))``, from the block probabilities of the training counts, worked out bottom-up; the deepest
-node of the tree on a path stops surely. The code length per byte is -log2 of the mixed probability over the text's bytes.
+node of the tree on a path stops surely. (Plain weighting lets a child that training never saw say 1/2; here a path ends
+above such a child. A child of a node that was seen takes that node's estimate, then.) The code length per byte is -log2 of the
+mixed probability over the text's bytes.
 
-What is gathered follows the corpus: byte (depth + 1)-grams and words are counted over all training texts, with map-side sums
-and one shuffle. The tree has a capacity, ``most_grams``: beyond it the rarest deep contexts are left to their parents (the smallest
-power of two as the least count of a context that fits), so what goes to the driver and to the tasks is bounded by that parameter. Base scores need all word
-counts: the ``most_words`` most frequent (again by a power of two) go to the tasks, occurrences of others join the count table by hash.
+What is gathered follows the corpus: every (depth + 1)-gram of bytes and every word of all training texts is counted, with
+map-side sums and one shuffle, and stays in a table in the shared folder. No gram is left out, whatever the size.
+
+Scale. The tree is weighted in subtrees: all nodes whose last ``top`` context bytes hash alike make a task, which hands
+up the sums over its highest nodes; the nodes above (``256 ** (top - 1) * 255`` at most, in practice a few thousand) are weighed on
+the driver and go to the tasks with the closure. Texts are dealt into blocks of ``block_bytes``. A block asks for the distinct
+grams and words it holds; the distinct grams of all blocks are evaluated once, each in its subtree's task, and answers go back by
+equi-joins on the gram, then by block; so a task holds a block of text and its answers, or a subtree, never the
+model. Rows shuffled are the blocks' distinct grams, a few hundredths of the bytes.
 
 Words are known by 64-bit hashes. Defined cases: a null text is empty, one end token; an empty training set gives N = V =
-0 and a score of half a chance for each bit. A null doc_id is in training. Repeated rows are scored each; other columns are ignored.
+0 and a score of half a chance for each bit. A null doc_id is in training. Repeated rows are scored each; other columns are
+carried along, but for those named as results are.
 """
 
 from __future__ import annotations
@@ -26,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_out, latest_per_worker, slices, texts, word_memo, written
-from quire.llm.minhash_kernel import mix64
+from quire.llm.common import fields, held_out, map_arrow, slices, texts, word_memo, written
 
 END = b"\n"
 END_WORD = int(np.array([xxhash.xxh3_64_intdigest(END)], np.uint64).view(np.int64)[0])
+RESULTS = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+_BYTE = np.uint64(8)
 
 
 def grams(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +50,7 @@ def grams(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]
     n = len(u) - depth
     key = np.zeros(n, np.uint64)
     for i in range(depth + 1):
-        key <<= np.uint64(8)
+        key <<= _BYTE
         key |= u[i : i + n]
     own = np.ones(len(u), bool)
     starts = np.concatenate(([0], np.cumsum(sizes + depth)[:-1]))
@@ -49,314 +58,334 @@ def grams(words: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]
     return key[own[depth:]], sizes
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    all_keys, all_counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(all_keys)
-    all_keys, all_counts = all_keys[order], all_counts[order]
-    first = np.flatnonzero(np.concatenate(([True], all_keys[1:] != all_keys[:-1])))
-    return all_keys[first], np.add.reduceat(all_counts, first)
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, and the sum of each one's counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
 
 
-def _count(depth: int):
-    def run(batches):
-        take = word_memo().__getitem__
-        held = {0: ([], []), 1: ([], [])}
+class _Gathered:
+    """Grams (kind 0) and words (kind 1) with counts, merged now and then."""
 
-        def add(kind, keys):
-            k, c = np.unique(keys, return_counts=True)
-            held[kind][0].append(k)
-            held[kind][1].append(c)
-            if len(held[kind][0]) >= 16:
-                one = _summed(*held[kind])
-                held[kind] = [one[0]], [one[1]]
+    def __init__(self):
+        self.held = {0: ([], []), 1: ([], [])}
 
-        for part in slices(batches, 1 << 20):
-            words = [t.lower().split() for t in texts(part)]
-            add(0, grams(words, depth)[0])
-            flat = b"".join([take(x) for w in words for x in w])
-            add(1, np.concatenate([np.frombuffer(flat, np.uint64), np.full(len(words), END_WORD, np.int64).view(np.uint64)]))
-        for kind, (keys, counts) in held.items():
+    def add(self, batch, depth: int) -> None:
+        take = word_memo().__getitem__
+        words = [t.lower().split() for t in texts(batch)]
+        flat = b"".join([take(x) for w in words for x in w])
+        hashes = np.concatenate([np.frombuffer(flat, np.uint64), np.full(len(words), END_WORD, np.int64).view(np.uint64)])
+        for kind, keys in ((0, grams(words, depth)[0]), (1, hashes)):
+            k, c = np.unique(keys, return_counts=True)
+            self.held[kind][0].append(k)
+            self.held[kind][1].append(c)
+            if len(self.held[kind][0]) >= 16:
+                k, c = summed(*(np.concatenate(x) for x in self.held[kind]))
+                self.held[kind] = [k], [c]
+
+    def rows(self, block: int | None = None):
+        for kind, (keys, counts) in self.held.items():
             if keys:
-                k, c = _summed(keys, counts)
-                for i in range(0, len(k), 100_000):
-                    part = k[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part.view(np.int64)), pa.array(c[i : i + 100_000].astype(np.int64))], names=["kind", "key", "n"])
-
-    return run
-
+                k, c = summed(np.concatenate(keys), np.concatenate(counts))
+                for i in range(0, len(k), 50_000):
+                    part = k[i : i + 50_000].view(np.int64)
+                    last = pa.array(c[i : i + 50_000].astype(np.int64)) if block is None else pa.array(np.full(len(part), block, np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int8)), pa.array(part), last], names=["kind", "key", "n" if block is None else "block"])
 
-class Table:
-    """Open addressing over distinct 64-bit keys, probed for whole arrays at once.
-
-    Only places in ``keys`` are stored anew, four bytes a slot; keys and values stay the arrays given.
-    """
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray, block: int = 1 << 18):
-        self.keys, self.values = keys, values
-        self.shift = np.uint64(64 - max(4, int(1.5 * len(keys)).bit_length()))
-        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
-        self.mask = np.int64(len(self.slots) - 1)
-        for i in range(0, len(keys), block):
-            todo = np.arange(i, min(i + block, len(keys)), dtype=np.int32)
-            at = self._home(keys[i : i + block])
-            while len(todo):
-                free = self.slots[at] < 0
-                self.slots[at[free]] = todo[free]
-                left = self.slots[at] != todo  # of several keys for a free slot one got it
-                todo, at = todo[left], (at[left] + 1) & self.mask
-
-    def _home(self, keys):
-        return (mix64(keys) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key, or -1."""
-        at = self._home(keys)
-        out = self.slots[at].astype(np.int64)
-        if not len(self.keys):
-            return out
-        todo = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & self.mask
-            here = self.slots[at[todo]]
-            out[todo] = here
-            todo = todo[(here >= 0) & (self.keys[here] != keys[todo])]
-        return out
-
-    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is there, and its value as a float (0 if not)."""
-        place = self.find(keys)
-        there, out = place >= 0, np.zeros(len(keys))
-        out[there] = self.values[place[there]]
-        return there, out
 
+def _count(depth: int):
+    def run(batches):
+        held = _Gathered()
+        for part in slices(batches):
+            held.add(part, depth)
+        yield from held.rows()
 
-def _node(context: np.ndarray, prefix: np.ndarray, d: int) -> np.ndarray:
-    """A node's key: depth, context bytes, and the bits so far behind a leading one."""
-    return np.uint64(d) << np.uint64(60) | context << np.uint64(8) | prefix
+    return run
 
 
-def _below(context: np.ndarray, d: int) -> np.ndarray:
-    return context & np.uint64((1 << (8 * d)) - 1)
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Natural log of the gamma function, for x of 1/2 and more, by Stirling's series beyond 8."""
+    y, low = x + 8.0, np.ones_like(x)
+    for i in range(8):
+        low = low * (x + i)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(low)
 
 
-def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Natural log of the KT block probability of n0 zeros and n1 ones."""
-    top = int(max(n0.max(initial=0), n1.max(initial=0), 0))
-    lg = np.vectorize(math.lgamma, otypes=[float])
-    if top < 1 << 20:
-        half = lg(np.arange(top + 1) + 0.5)
-        a, b = half[n0.astype(np.int64)], half[n1.astype(np.int64)]
-    else:
-        a, b = lg(n0 + 0.5), lg(n1 + 0.5)
-    return a + b - 2 * math.lgamma(0.5) - lg(n0 + n1 + 1.0)
-
-
-class Model:
-    """The weighted tree: log10 of both bits' mixed probability at every node, and of whole grams seen in training."""
-
-    def __init__(self, depth: int, counts: list[tuple[np.ndarray, np.ndarray]]):
-        """``counts[d]``: grams of d + 1 bytes, sorted, and how often each came."""
-        self.depth = depth
-        nodes = []
-        for d, (gram, n) in enumerate(counts):
-            context, byte = gram >> np.uint64(8), gram & np.uint64(255)
-            level = []
-            for k in range(8):  # nodes of different bit positions are different, so each is summed alone
-                prefix = (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k))
-                bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-                unique, at = np.unique(_node(context, prefix, d), return_inverse=True)
-                level.append((unique, np.bincount(at, n * ~bit, len(unique)), np.bincount(at, n * bit, len(unique))))
-            key = np.concatenate([x[0] for x in level])
-            order = np.argsort(key)
-            nodes.append([key[order], *(np.concatenate([x[i] for x in level])[order] for i in (1, 2))])
-        stop = [None] * len(nodes)
-        up_w = up_0 = up_1 = None
-        parents = [None]
-        for d in range(1, len(nodes)):
-            key = nodes[d][0]
-            parent = _node(_below(key >> np.uint64(8) & np.uint64((1 << 52) - 1), d - 1), key & np.uint64(255), d - 1)
-            parents.append(np.searchsorted(nodes[d - 1][0], parent))
-        for d in range(len(nodes) - 1, -1, -1):
-            _, n0, n1 = nodes[d]
-            own = _log_kt(n0, n1)
-            if up_w is None:
-                stop[d], weighted = np.ones(len(own)), own
+    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - math.log(math.pi) - _log_gamma(n0 + n1 + 1.0)
+
+
+def _low(x: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` bytes."""
+    return x & np.uint64((1 << (8 * n)) - 1)
+
+
+def nodes_of(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The binary nodes of one depth from its sorted grams: keys (context, then the bits so far behind a leading one), zeros, ones."""
+    context, byte = gram >> _BYTE, gram & np.uint64(255)
+    keys, zeros, ones = [], [], []
+    for k in range(8):
+        key = context << _BYTE | np.uint64(1 << k) | byte >> np.uint64(8 - k)  # rising, as the grams rise
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(float)
+        total, one = np.add.reduceat(n, first), np.add.reduceat(n * bit, first)
+        keys.append(key[first])
+        zeros.append(total - one)
+        ones.append(one)
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    return key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
+
+
+class Levels:
+    """Nodes of the depths ``first`` to ``last``, from grams of ``last + 1`` bytes or from the sums that subtrees hand up."""
+
+    def __init__(self, nodes: list[tuple], first: int, below: tuple | None = None):
+        """``nodes``: for each depth keys, zeros, ones. ``below``: for the last depth's nodes the summed log weights of their children."""
+        self.first, self.keys = first, [x[0] for x in nodes]
+        self.kt = [(x[2] + 0.5) / (x[1] + x[2] + 1) for x in nodes]
+        self.stop = [None] * len(nodes)
+        self.parents = [None]
+        for i in range(1, len(nodes)):
+            parent = _low(self.keys[i] >> _BYTE, first + i - 1) << _BYTE | self.keys[i] & np.uint64(255)
+            self.parents.append(np.searchsorted(self.keys[i - 1], parent))
+        split = below
+        for i in range(len(nodes) - 1, -1, -1):
+            own = log_kt(nodes[i][1], nodes[i][2])
+            if split is None:
+                self.stop[i], self.weight = np.ones(len(own)), own
             else:
-                # What the kept children lack (rare contexts) counts as one more leaf.
-                split = up_w + _log_kt(np.maximum(n0 - up_0, 0), np.maximum(n1 - up_1, 0))
-                split = np.where(up_0 + up_1 > 0, split, -np.inf)
                 both = np.logaddexp(own, split)
-                stop[d], weighted = np.exp(own - both), np.where(np.isfinite(split), both - math.log(2), own)
-            if d:
-                size = len(nodes[d - 1][0])
-                up_w, up_0, up_1 = (np.bincount(parents[d], x, size) for x in (weighted, n0, n1))
-        mixed, reach, keys, values = None, None, [], []
-        for d, (key, n0, n1) in enumerate(nodes):
-            kt = (n1 + 0.5) / (n0 + n1 + 1)
-            if d == 0:
-                inner, going = np.zeros(len(kt)), np.ones(len(kt))
-            else:
-                inner, going = mixed[parents[d]], reach[parents[d]]
+                self.stop[i], self.weight = np.exp(own - both), both - math.log(2)
+            if i:
+                split = np.bincount(self.parents[i], self.weight, len(self.keys[i - 1]))
+
+    def mix(self, mixed: np.ndarray, reach: np.ndarray) -> None:
+        """Top-down: each first node's ``mixed`` probability of a one from above, and the share ``reach`` that comes down to it."""
+        self.logs = []
+        for i, kt in enumerate(self.kt):
+            if i:
+                mixed, reach = mixed[self.parents[i]], reach[self.parents[i]]
             # As the deepest node of a path it takes all that is left; as an inner one its stopping share.
-            final = inner + going * kt
-            mixed, reach = inner + going * stop[d] * kt, going * (1 - stop[d])
-            final = np.clip(final, 1e-12, 1 - 1e-12)
-            keys.append(key)
-            values.append(np.stack([np.log10(1 - final), np.log10(final)], axis=1).astype(np.float32))
-        self.nodes = np.concatenate(keys), np.concatenate(values)
-        self.grams = counts[-1][0] if counts else np.empty(0, np.uint64)
-
-
-class Scorer:
-    """Looks up a :class:`Model`'s arrays."""
-
-    def __init__(self, depth: int, nodes: tuple[np.ndarray, np.ndarray], seen: np.ndarray):
-        self.depth, self.table = depth, Table(*nodes)
-        whole = [self.by_bits(seen[i : i + 50_000]) for i in range(0, len(seen), 50_000)]
-        self.whole = Table(seen, np.concatenate(whole).astype(np.float32) if whole else np.empty(0, np.float32))
-
-    def by_bits(self, gram: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's last byte: at each bit the deepest node there is."""
-        context, byte = gram >> np.uint64(8), gram & np.uint64(255)
-        total = np.zeros(len(gram))
-        for k in range(8):
-            prefix = (np.uint64(1) << np.uint64(k)) | (byte >> np.uint64(8 - k))
-            bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
-            value = np.full(len(gram), math.log10(0.5))
-            todo = np.arange(len(gram))
-            for d in range(self.depth, -1, -1):
-                slot = self.table.find(_node(_below(context[todo], d), prefix[todo], d))
-                hit = slot >= 0
-                value[todo[hit]] = self.table.values[slot[hit], bit[todo[hit]]]
-                todo = todo[~hit]
-                if not len(todo):
-                    break
-            total += value
-        return total
-
-    def score(self, gram: np.ndarray) -> np.ndarray:
-        there, out = self.whole.look(gram)
-        missing = np.flatnonzero(~there)
-        if len(missing):
-            unseen, at = np.unique(gram[missing], return_inverse=True)
-            out[missing] = self.by_bits(unseen)[at]
-        return out
-
-
-def _least_count(counted: DataFrame, most: int, rows=None) -> int:
-    """The smallest power of two such that the rows of ``counted(n)`` that reach it hold at most ``most`` rows.
-
-    ``rows`` says how many each counts for, one if not given.
-    """
-    rows = F.lit(1) if rows is None else rows
-    size = dict(counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.sum(rows)).collect())
-    power, held = 64, 0
-    while power > 0 and held + size.get(power - 1, 0) <= most:
-        power -= 1
-        held += size.get(power, 0)
-    return 1 << power
+            final = np.clip(mixed + reach * kt, 1e-12, 1 - 1e-12)
+            mixed, reach = mixed + reach * self.stop[i] * kt, reach * (1 - self.stop[i])
+            self.logs.append(np.stack([np.log10(1 - final), np.log10(final)], axis=1))
+        self.mixed, self.reach = mixed, reach
+
+    def look(self, context: np.ndarray, prefix: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each decision whether a node of these depths is on its path, and the deepest one's log10 probability."""
+        there, out = np.zeros(len(prefix), bool), np.zeros(len(prefix))
+        todo = np.arange(len(prefix))
+        for i in range(len(self.keys) - 1, -1, -1):
+            keys = self.keys[i]
+            if not len(keys) or not len(todo):
+                continue
+            want = _low(context[todo], self.first + i) << _BYTE | prefix[todo]
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            hit = keys[at] == want
+            out[todo[hit]] = self.logs[i][at[hit], bit[todo[hit]]]
+            there[todo[hit]] = True
+            todo = todo[~hit]
+        return there, out
+
+
+def subtree(gram: np.ndarray, n: np.ndarray, depth: int, top: int) -> Levels:
+    """The nodes of depth ``top`` and more that these grams (``depth + 1`` bytes, distinct) make."""
+    levels = []
+    for d in range(depth, top - 1, -1):
+        gram, n = summed(_low(gram, d + 1), n)
+        levels.append(nodes_of(gram, n) if len(gram) else (np.empty(0, np.uint64), np.empty(0), np.empty(0)))
+    return Levels(levels[::-1], top)
+
+
+def _hand_up(depth: int, top: int):
+    """A task's subtrees -> sums over the children of each node of depth ``top - 1``: log weights, zeros, ones."""
+
+    def run(t: pa.Table) -> pa.Table:
+        gram, n = t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy().astype(float)
+        tree = subtree(gram, n, depth, top)
+        parent = _low(tree.keys[0] >> _BYTE, top - 1) << _BYTE | tree.keys[0] & np.uint64(255)
+        unique, at = np.unique(parent, return_inverse=True)
+        zeros, ones = nodes_of(*summed(_low(gram, top + 1), n))[1:]
+        sums = [np.bincount(at, x, len(unique)) for x in (tree.weight, zeros, ones)]
+        return pa.table({"node": unique.view(np.int64), "weight": sums[0], "zeros": sums[1], "ones": sums[2]})
+
+    return run
+
+
+def crown(keys: np.ndarray, weight: np.ndarray, zeros: np.ndarray, ones: np.ndarray, top: int) -> Levels:
+    """The nodes above the subtrees: depths 0 to ``top - 1``, mixed."""
+    nodes = [(keys, zeros, ones)]
+    for d in range(top - 2, -1, -1):
+        key, n0, n1 = nodes[0]
+        up = _low(key >> _BYTE, d) << _BYTE | key & np.uint64(255)
+        unique, at = np.unique(up, return_inverse=True)
+        nodes.insert(0, (unique, np.bincount(at, n0, len(unique)), np.bincount(at, n1, len(unique))))
+    levels = Levels(nodes, 0, weight)
+    levels.mix(np.zeros(len(levels.keys[0])), np.ones(len(levels.keys[0])))
+    return levels
+
+
+def log_probabilities(wanted: np.ndarray, above: Levels, tree: Levels | None) -> np.ndarray:
+    """log10 probability of each gram's last byte behind the others, in the whole tree."""
+    if tree is not None and len(tree.keys[0]):
+        parent = _low(tree.keys[0] >> _BYTE, tree.first - 1) << _BYTE | tree.keys[0] & np.uint64(255)
+        at = np.searchsorted(above.keys[-1], parent)
+        tree.mix(above.mixed[at], above.reach[at])
+    context, byte, total = wanted >> _BYTE, wanted & np.uint64(255), np.zeros(len(wanted))
+    for k in range(8):
+        prefix = np.uint64(1 << k) | byte >> np.uint64(8 - k)
+        bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(np.int64)
+        there, value = tree.look(context, prefix, bit) if tree is not None and len(tree.keys[0]) else (np.zeros(len(wanted), bool), np.zeros(len(wanted)))
+        rest = np.flatnonzero(~there)
+        if len(rest):
+            known, other = above.look(context[rest], prefix[rest], bit[rest])
+            value[rest] = np.where(known, other, math.log10(0.5))
+        total += value
+    return total
+
+
+def _evaluate(depth: int, top: int, above: Levels):
+    def run(_, counts: pa.Table, wanted: pa.Table) -> pa.Table:
+        keys = wanted.column("key").to_numpy()
+        tree = None
+        if counts.num_rows and len(keys):
+            tree = subtree(counts.column("key").to_numpy().view(np.uint64), counts.column("n").to_numpy().astype(float), depth, top)
+        values = [log_probabilities(keys[i : i + 100_000].view(np.uint64), above, tree) for i in range(0, len(keys), 100_000)]
+        return pa.table({"key": keys, "value": np.concatenate(values) if values else np.empty(0)})
+
+    return run
 
 
 class Fitted:
-    """A fitted model: the tree and the word counts."""
+    """A fitted model: the table of counts (kind, key, n), the nodes above the subtrees, N and V."""
 
-    def __init__(self, tree: Model, words: DataFrame, n: int, v: int, frequent: tuple[np.ndarray, np.ndarray]):
-        self.tree, self.words, self.n, self.v, self.frequent = tree, words, n, v, frequent
+    def __init__(self, counts: DataFrame, depth: int, top: int, tasks: int, above: Levels, n: int, v: int):
+        self.counts, self.depth, self.top, self.tasks, self.above, self.n, self.v = counts, depth, top, tasks, above, n, v
 
+    def task_of(self, df: DataFrame) -> DataFrame:
+        """Which task has the subtree of a gram: by its last ``top`` context bytes."""
+        return df.withColumn("task", _task(self.top, self.tasks))
 
-def fit(train: DataFrame, *, depth: int = 5, most_grams: int = 1 << 19, most_words: int = 1 << 18) -> Fitted:
-    """Count over all of ``train(text)`` and weigh the tree."""
-    parts = train.select("text").mapInArrow(_count(depth), "kind byte, key long, n long")
+
+def _task(top: int, tasks: int):
+    return F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * top)) - 1))), F.lit(tasks))
+
+
+def fit(train: DataFrame, *, depth: int = 7, top: int = 2, task_grams: int = 50_000) -> Fitted:
+    """Count over all of ``train(text)`` and weigh the tree. ``task_grams``: about as many distinct grams a task."""
+    if not 0 < top <= depth <= 7:
+        raise ValueError("0 < top <= depth <= 7: a gram is depth + 1 bytes, eight at most")
+    parts = map_arrow(train.select("text"), _count(depth), "kind byte, key long, n long")
     counted = written(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counted.where("kind = 1").select("key", "n")
-    total = words.agg(F.sum("n"), F.count("*")).first()
-    least = _least_count(words, most_words)
-    top = words.where(F.col("n") >= least).toArrow()
-    frequent = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy().astype(np.int64)
-    # The end counts as a word; a gram's last d + 1 bytes are a gram of depth d.
-    each = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")) for d in range(depth + 1)])).alias("x")
-    byte_counts = counted.where("kind = 0").select(each, "n").groupBy("x.d", "x.gram").agg(F.sum("n").alias("n"))
-    # A context is kept with all its bytes (256 at most) or not at all, so that no node takes a rare byte for an impossible one.
-    context = F.shiftrightunsigned("gram", 8).alias("context")
-    contexts = byte_counts.groupBy("d", context).agg(F.sum("n").alias("n"), F.collect_list(F.struct("gram", "n")).alias("bytes"))
-    contexts = written(contexts, "grams")
-    least = _least_count(contexts, most_grams, F.size("bytes"))
-    kept = contexts.where((F.col("n") >= least) | (F.col("d") == 0)).select("d", F.explode("bytes").alias("b")).select("d", "b.*").toArrow()
-    d, gram, n = kept["d"].to_numpy(), kept["gram"].to_numpy().view(np.uint64), kept["n"].to_numpy()
-    counts = []
-    for level in range(depth + 1):
-        at = np.flatnonzero(d == level)
-        at = at[np.argsort(gram[at])]
-        counts.append((gram[at], n[at].astype(float)))
-    return Fitted(Model(depth, counts), words, int(total[0] or 0), int(total[1]), frequent)
-
-
-def _score(shared, key: str):
+    totals = {r["kind"]: (r["total"], r["rows"]) for r in counted.groupBy("kind").agg(F.sum("n").alias("total"), F.count("*").alias("rows")).collect()}
+    n, v = totals.get(1, (0, 0))
+    tasks = max(64, -(-totals.get(0, (0, 0))[1] // task_grams))
+    subtrees = counted.where("kind = 0").select("key", "n").withColumn("task", _task(top, tasks))
+    up = subtrees.groupBy("task").applyInArrow(_hand_up(depth, top), "node long, weight double, zeros double, ones double")
+    up = up.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("weight", "zeros", "ones"))).toArrow()
+    keys = up.column("node").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    above = crown(keys[order], *(up.column(c).to_numpy()[order] for c in ("weight", "zeros", "ones")), top)
+    return Fitted(counted, depth, top, tasks, above, n, v)
+
+
+def _in_blocks(block_bytes: int):
+    """Numbers for rows and blocks; a block is a run of rows of one task."""
+
     def run(batches):
-        def build():
-            depth, nodes, seen, (words, counts), n, v = shared.value
-            return Scorer(depth, nodes, seen), Table(words, counts), n, v
+        worker, row, block, held = TaskContext.get().partitionId(), 0, 0, 0
+        for part in slices(batches):
+            if held > block_bytes:
+                block, held = block + 1, 0
+            held += part.get_total_buffer_size() if part.num_rows == 1 else sum(map(len, texts(part)))
+            rows = pa.array((worker << 36) + row + np.arange(part.num_rows), pa.int64())
+            row += part.num_rows
+            yield pa.RecordBatch.from_arrays([*part.columns, rows, pa.array(np.full(part.num_rows, (worker << 32) + block, np.int64))], names=[*part.schema.names, "_row", "_block"])
 
-        scorer, frequent, n, v = latest_per_worker("tree", key, build)
-        take = word_memo().__getitem__
-        worker, row = TaskContext.get().partitionId(), 0
-        floor = math.log10(n + v + 1)
-        for part in slices(batches, 1 << 20):
+    return run
+
+
+def _needs(depth: int):
+    """The distinct grams and words of each block."""
+
+    def run(batches):
+        now, held = None, _Gathered()
+        for batch in batches:
+            blocks = batch.column(batch.schema.get_field_index("_block")).to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if blocks[a] != now and now is not None:
+                    yield from held.rows(now)
+                    held = _Gathered()
+                now = int(blocks[a])
+                for part in slices([batch.slice(a, b - a)]):
+                    held.add(part, depth)
+        if now is not None:
+            yield from held.rows(now)
+
+    return run
+
+
+def _score(depth: int, n: int, v: int, kept: list[str]):
+    def run(_, block: pa.Table, answers: pa.Table) -> pa.Table:
+        take, floor = word_memo().__getitem__, math.log10(n + v + 1)
+        kind = answers.column("kind").to_numpy()
+        keys, values = answers.column("key").to_numpy().view(np.uint64), answers.column("value").to_numpy()
+        tables = []
+        for k in (0, 1):
+            at = np.flatnonzero(kind == k)
+            at = at[np.argsort(keys[at])]
+            tables.append((keys[at], values[at]))
+        out = []
+        for part in slices(block.to_batches()):
             words = [t.lower().split() for t in texts(part)]
-            gram, sizes = grams(words, scorer.depth)
-            firsts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            score = np.add.reduceat(scorer.score(gram), firsts)
+            gram, sizes = grams(words, depth)
+            score = np.add.reduceat(tables[0][1][np.searchsorted(tables[0][0], gram)], np.concatenate(([0], np.cumsum(sizes)[:-1])))
             lengths = np.array([len(w) + 1 for w in words])
             end = np.array([END_WORD], np.int64).tobytes()
             codes = np.frombuffer(b"".join([b"".join(map(take, w)) + end for w in words]), np.uint64)
-            known, count = frequent.look(codes)
+            count = tables[1][1][np.searchsorted(tables[1][0], codes)]
             at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            value = np.log10(count + 1.0)
-            rest = [codes[a : a + m][~known[a : a + m]].view(np.int64) for a, m in zip(at, lengths, strict=True)]
-            ids = (worker << 40) + row + np.arange(len(words))
-            row += len(words)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *part.drop_columns(["text"]).columns,
-                    pa.array(ids, pa.int64()),
-                    pa.array(lengths, pa.int64()),
-                    pa.array(np.add.reduceat(known.astype(np.int64), at)),
-                    pa.array(np.add.reduceat(value, at) - floor * lengths),
-                    pa.array(score),
-                    pa.array(-score / sizes * math.log2(10)),
-                    pa.array(rest, pa.list_(pa.int64())),
-                ],
-                names=[*part.drop_columns(["text"]).schema.names, "row", "n_tokens", "n_known", "base_score", "score", "bits_per_byte", "rest"],
-            )
+            more = [
+                pa.array(lengths, pa.int64()),
+                pa.array(np.add.reduceat((count > 0).astype(np.int64), at)),
+                pa.array(np.full(len(words), n, np.int64)),
+                pa.array(np.add.reduceat(np.log10(count + 1.0), at) - floor * lengths),
+                pa.array(score),
+                pa.array(-score / sizes * math.log2(10)),
+            ]
+            out.append(pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), *more], names=[*kept, *RESULTS]))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def score_texts(docs: DataFrame, fitted: Fitted) -> DataFrame:
+def score_texts(docs: DataFrame, fitted: Fitted, *, block_bytes: int = 24 << 20) -> DataFrame:
     """``docs(text, ...)``, less the text, with n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    spark = docs.sparkSession
-    kept = [f for f in docs.schema if f.name != "text"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    tree = fitted.tree
-    shared = spark.sparkContext.broadcast((tree.depth, tree.nodes, tree.grams, fitted.frequent, fitted.n, fitted.v))
-    key = xxhash.xxh3_128_hexdigest(tree.nodes[0].tobytes() + fitted.frequent[0].tobytes() + str((fitted.n, fitted.v)).encode())
-    schema = f"{fields}, row long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double, rest array<long>"
-    part = written(docs.mapInArrow(_score(shared, key), schema), "scored")
-    shared.destroy()
-    rare = part.select("row", F.explode("rest").alias("key")).groupBy("key", "row").agg(F.count("*").alias("times"))
-    rare = rare.join(fitted.words, "key")
-    rare = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
-    out = part.drop("rest").join(rare, "row", "left").withColumns(
-        {
-            "n_known": F.col("n_known") + F.coalesce("more", F.lit(0)),
-            "base_score": F.col("base_score") + F.coalesce("gain", F.lit(0.0)),
-            "train_tokens": F.lit(fitted.n).cast("long"),
-        }
-    )
-    return out.drop("row", "more", "gain")
+    docs = docs.drop(*RESULTS, "_row", "_block")
+    kept = docs.drop("text")
+    blocks = written(map_arrow(docs, _in_blocks(block_bytes), f"{fields(docs)}, _row long, _block long"), "blocks")
+    needed = written(map_arrow(blocks.select("text", "_block"), _needs(fitted.depth), "kind byte, key long, block long"), "needed")
+    wanted = fitted.task_of(needed.where("kind = 0").select("key").distinct())
+    counts = fitted.task_of(fitted.counts.where("kind = 0").select("key", "n"))
+    told = counts.groupBy("task").cogroup(wanted.groupBy("task")).applyInArrow(_evaluate(fitted.depth, fitted.top, fitted.above), "key long, value double")
+    told = told.select(F.lit(0).cast("byte").alias("kind"), "key", "value")
+    words = fitted.counts.where("kind = 1").select("kind", "key", F.col("n").cast("double").alias("value"))
+    answers = needed.join(told.unionByName(words), ["kind", "key"], "left").select("block", "kind", "key", F.coalesce("value", F.lit(0.0)).alias("value"))
+    schema = ", ".join(x for x in (fields(kept), "n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double") if x)
+    joined = blocks.groupBy("_block").cogroup(answers.groupBy("block"))
+    return joined.applyInArrow(_score(fitted.depth, fitted.n, fitted.v, kept.columns), schema)
 
 
 def op8_context_tree(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("held_out", held_out(7, 2))
     fitted = fit(docs.where("not held_out"))
-    return score_texts(docs.select("doc_id", "held_out", "text"), fitted)
+    return score_texts(docs, fitted).select("doc_id", "held_out", *RESULTS)

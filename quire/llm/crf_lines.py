@@ -2,8 +2,10 @@
 
 Method. A text's lines are a sequence; each line has features (its make-up by character class, words, repeats, ends).
 A linear-chain CRF with the labels content (0) and boilerplate (1) is trained by conditional likelihood on a bounded
-sample of documents with a quality label (``sample_each`` a class): the lines of poor documents and lines that repeat an
-earlier one or are licence notices stand for boilerplate, other lines of good documents for content. Viterbi decoding labels every line of
+sample of documents with a quality label (``sample_each`` a class). What stands for boilerplate there is no input of the
+model: the lines of poor documents, and lines that two or more of the sampled documents share; other lines of good documents
+stand for content. How stiff the transitions are is chosen by the likelihood of a fifth of the sample that isn't learned
+from, against a model without transitions. Viterbi decoding labels every line of
 every whole text; the words' characters in content lines, as a share of all, must reach ``least_share`` for a document to stay. Base rules
 (word count, words in repeated 5-word windows) fail a document beforehand.
 
@@ -11,17 +13,18 @@ Scale. One map over the text without a shuffle; the model is a few hundred numbe
 Arrow batch (and by the longest text). Training ids are broadcast (``2 * sample_each`` of them, up to chance).
 
 Defined cases. A null or word-less text has zero counts and fails the base rules (fewer than 10 words). Without labels
-of both classes the CRF takes every line as content. Other columns are ignored; repeated rows are judged each.
+of both classes the CRF takes every line as content. Other columns are carried along, but for those named as results are;
+repeated rows are judged each.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quire.llm.common import hash_below, held_out, sample_share, slices, texts, word_memo
+from quire.llm.common import drawn_rows, fields, held_out, map_arrow, slices, texts, word_memo
 from quire.llm.minhash_kernel import mix64
 
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -174,7 +177,10 @@ class Model:
 
 
 def fit_chains(features: np.ndarray, n_lines: np.ndarray, truth: np.ndarray, epochs: int = 160, rigid: float = 1.0) -> Model:
-    """Adam on the conditional log-likelihood; forward and backward run over all sequences in step."""
+    """Adam on the conditional log-likelihood; forward and backward run over all sequences in step.
+
+    An infinite ``rigid`` gives a model without transitions.
+    """
     p = {"weights": np.zeros((features.shape[1], 2)), "moves": np.zeros((2, 2)), "start": np.zeros(2)}
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     order = np.argsort(-n_lines, kind="stable")
@@ -205,43 +211,69 @@ def fit_chains(features: np.ndarray, n_lines: np.ndarray, truth: np.ndarray, epo
         pairs = np.exp(step).sum(axis=0)
         grads = {
             "weights": features.T @ (mass - one_hot) / len(n) + 1e-4 * p["weights"],
-            # Labels change seldom inside a sample document; unchecked, the moves would outvote a line's own features.
-            "moves": (pairs - moved) / len(n) + rigid * p["moves"],
-            "start": (mass[first] - one_hot[first]).mean(axis=0) + rigid * p["start"],
+            # Labels change seldom inside a poor document; unchecked, the moves would outvote a line's own features.
+            "moves": (pairs - moved) / len(n) + min(rigid, 1e9) * p["moves"],
+            "start": (mass[first] - one_hot[first]).mean(axis=0) + min(rigid, 1e9) * p["start"],
         }
-        for k in p:
+        for k in p if rigid < np.inf else ("weights",):
             m[k] = 0.9 * m[k] + 0.1 * grads[k]
             v[k] = 0.999 * v[k] + 0.001 * grads[k] ** 2
             p[k] = p[k] - 0.1 * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.999**epoch)) + 1e-8)
     return Model(**p)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_each: int = 500) -> Model:
-    """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``."""
-    marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marks = marks.join(docs.select("doc_id").distinct(), "doc_id")
-    share = sample_share(dict(marks.groupBy("quality").count().collect()), sample_each)
-    if len(share) < 2:
+def log_likelihood(model: Model, features: np.ndarray, n_lines: np.ndarray, truth: np.ndarray) -> float:
+    """The mean conditional log-likelihood of a sequence's labels."""
+    emit, total = features @ model.weights, 0.0
+    for first, n in zip(np.concatenate(([0], np.cumsum(n_lines)[:-1])), n_lines, strict=True):
+        e, y = emit[first : first + n], truth[first : first + n]
+        alpha = e[0] + model.start
+        for x in e[1:]:
+            alpha = np.logaddexp.reduce(alpha[:, None] + model.moves, axis=0) + x
+        path = model.start[y[0]] + e[np.arange(n), y].sum() + model.moves[y[:-1], y[1:]].sum()
+        total += path - np.logaddexp.reduce(alpha)
+    return total / max(len(n_lines), 1)
+
+
+def choose(features: np.ndarray, n_lines: np.ndarray, truth: np.ndarray, options=(np.inf, 1.0, 0.1, 0.01)) -> tuple[float, dict[float, float]]:
+    """The stiffness under which a fifth of the sequences, not learned from, is likeliest; and all the likelihoods."""
+    held = np.arange(len(n_lines)) % 5 == 4
+    rows = np.repeat(held, n_lines)
+    if not held.any():
+        return 1.0, {}
+    found = {r: log_likelihood(fit_chains(features[~rows], n_lines[~held], truth[~rows], rigid=r), features[rows], n_lines[held], truth[rows]) for r in options}
+    return max(found, key=found.get), found
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample_each: int = 500, most_bytes: int = 1 << 16) -> Model:
+    """Learn from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``, on about ``sample_each`` documents a class.
+
+    A document that teaches has at most ``most_bytes`` bytes, so what the driver holds is bounded whatever the corpus.
+    """
+    found = map_arrow(drawn_rows(docs, labels, sample_each, most_bytes), _measured, "quality int, lines binary, hashes binary").collect()
+    found = sorted((r["quality"], bytes(r["lines"]), bytes(r["hashes"])) for r in found)
+    if len({q == 1 for q, _, _ in found}) < 2:
         return Model()
-    chosen = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("quality")]
-    drawn = docs.sparkSession.createDataFrame(marks.where(hash_below("doc_id", chosen)).collect(), marks.schema)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("quality", "text")
-    measured = rows.mapInArrow(_measured, "quality int, lines binary").collect()
-    measured = sorted((r["quality"], bytes(r["lines"])) for r in measured)
-    each = [np.frombuffer(b, np.float32).reshape(-1, DIMS).astype(float) for _, b in measured]
-    features = np.concatenate(each)
-    n_lines = np.array([len(x) for x in each])
-    poor = np.repeat([q != 1 for q, _ in measured], n_lines)
-    truth = (poor | (features[:, _KINDS + 7] > 0) | (features[:, _KINDS + 8] > 0)).astype(int)
-    return fit_chains(features, n_lines, truth)
+    # Every fifth sequence is held out, so classes must alternate.
+    found = [found[i] for i in np.random.default_rng(7).permutation(len(found))]
+    each = [np.frombuffer(b, np.float32).reshape(-1, DIMS).astype(float) for _, b, _ in found]
+    features, n_lines = np.concatenate(each), np.array([len(x) for x in each])
+    poor = np.repeat([q != 1 for q, _, _ in found], n_lines)
+    hashes = [np.frombuffer(h, np.uint64) for _, _, h in found]
+    line, docs_of = np.unique(np.concatenate([np.unique(h) for h in hashes]), return_counts=True)
+    shared = np.isin(np.concatenate(hashes), line[docs_of > 1]) & (features[:, _KINDS + 1] == 0)
+    truth = (poor | shared).astype(int)
+    return fit_chains(features, n_lines, truth, rigid=choose(features, n_lines, truth)[0])
 
 
 def _measured(batches):
     for part in slices(batches):
-        _, features, _, n_lines = measure(texts(part))
+        raw = texts(part)
+        _, features, _, n_lines = measure(raw)
         ends = np.cumsum(n_lines)
         rows = [features[e - n : e].astype(np.float32).tobytes() for e, n in zip(ends, n_lines, strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("quality")), pa.array(rows, pa.binary())], names=["quality", "lines"])
+        hashes = [np.array([xxhash.xxh3_64_intdigest(x) for x in t.split(b"\n")], np.uint64).tobytes() for t in raw]
+        yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("quality")), pa.array(rows, pa.binary()), pa.array(hashes, pa.binary())], names=["quality", "lines", "hashes"])
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -267,10 +299,13 @@ def _judge(model: Model, least_share: float):
 
 
 def judge_lines(docs: DataFrame, model: Model, *, least_share: float = 0.5) -> DataFrame:
-    """``docs(text, ...)`` with the base counts, base_failed, kept, content_share and line_labels (1: boilerplate)."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    """``docs(text, ...)`` with the base counts, base_failed, kept, content_share and line_labels (1: boilerplate).
+
+    Columns of ``docs`` with these names make way.
+    """
+    docs = docs.drop(*BASE, "base_failed", "kept", "content_share", "line_labels")
     counts = ", ".join(f"{k} long" for k in BASE)
-    return docs.mapInArrow(_judge(model, least_share), f"{fields}, {counts}, base_failed boolean, kept boolean, content_share double, line_labels array<byte>")
+    return map_arrow(docs, _judge(model, least_share), f"{fields(docs)}, {counts}, base_failed boolean, kept boolean, content_share double, line_labels array<byte>")
 
 
 def op5_crf_lines(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ Scale. Two passes over the text: one counts document frequencies (a vector a tas
 ``dims * clusters * languages`` floats, whatever the corpus, and goes to the tasks with the closure. No shuffle of text.
 
 Defined cases. A null text or one without a letter is ``und`` with score 0, and rejected. Null languages teach nothing. A
-corpus without any labelled text gives ``und`` for all. Repeated rows and ids are predicted each; other columns are ignored.
+corpus without any labelled text gives ``und`` for all. Repeated rows and ids are predicted each; other columns are carried
+along, but for those named as results are.
 """
 
 from __future__ import annotations
@@ -25,21 +26,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import hash_below, held_out, sample_share, slices, texts
+from quire.llm.common import fields, hash_below, held_out, map_arrow, sample_share, share_of, slices, texts
 
 DIMS = 4096
+#: Rows and bytes of text in a slice: a row takes 4096 counts, however short its text.
+_SLICE = {"most_bytes": 1 << 20, "most_rows": 256}
 CLASSES = DIMS.bit_length()  # of a text, by the power of two of its different grams
 _BLANK = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]").search
 
 
 def gram_counts(raw: list[bytes]) -> np.ndarray:
-    """Counts (float32, a row a text) of hashed byte 1- to 3-grams."""
+    """Counts (a row a text) of hashed byte 1- to 3-grams."""
     low = [t.decode().lower().encode().translate(_BLANK) for t in raw]
     sizes = np.array([len(t) + 2 for t in low])
     u = np.frombuffer(b"".join([t + b"  " for t in low]), np.uint8).astype(np.uint32)
     row = np.repeat(np.arange(len(low), dtype=np.uint32) * np.uint32(DIMS), sizes)
-    out = np.zeros(len(low) * DIMS, np.float32)
+    out = np.zeros(len(low) * DIMS, np.int32)
     for n in (1, 2, 3):
         code = np.full(len(u) - n + 1, n, np.uint32)
         for i in range(n):
@@ -47,12 +50,12 @@ def gram_counts(raw: list[bytes]) -> np.ndarray:
             code ^= code >> np.uint32(15)
         keep = u[: len(code)] != 32 if n == 1 else slice(None)
         at = (row[: len(code)] + (code & np.uint32(DIMS - 1)))[keep]
-        out += np.bincount(at, minlength=len(out))
+        out += np.bincount(at, minlength=len(out)).astype(np.int32)
     return out.reshape(-1, DIMS)
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * idf
+    x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1).astype(np.float32)), np.float32(0)) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -86,7 +89,7 @@ def least_cosines(cosine: np.ndarray, classes: np.ndarray, reach: float, fewest:
 
 def _frequencies(batches):
     total, n = np.zeros(DIMS, np.int64), 0
-    for part in slices(batches, 2 << 20):
+    for part in slices(batches, **_SLICE):
         counts = gram_counts(texts(part))
         total += (counts > 0).sum(axis=0)
         n += len(counts)
@@ -94,8 +97,8 @@ def _frequencies(batches):
 
 
 def _encode(batches):
-    for part in slices(batches, 2 << 20):
-        rows = gram_counts(texts(part)).astype(np.int32)
+    for part in slices(batches, **_SLICE):
+        rows = gram_counts(texts(part))
         yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("lang")), pa.array([zlib.compress(r.tobytes(), 1) for r in rows], pa.binary())], names=["lang", "counts"])
 
 
@@ -117,10 +120,14 @@ class Model:
         return names, score, ~has | (score < np.asarray(self.least)[best, gram_classes(counts)])
 
 
-def fit(labelled: DataFrame, *, clusters: int = 4, sample_each: int = 400, reach: float = 1.4) -> Model:
-    """Learn from ``labelled(doc_id, text, lang)``."""
+def fit(labelled: DataFrame, *, clusters: int = 4, sample_each: int = 400, reach: float = 1.4, most_bytes: int = 1 << 20) -> Model:
+    """Learn from ``labelled(doc_id, text, lang)``.
+
+    Document frequencies come from all rows. Centroids and bounds come from about ``sample_each`` texts a language, each of
+    at most ``most_bytes`` bytes; of a repeated doc_id one row (the least text) is drawn, a null doc_id is not.
+    """
     labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null")
-    summed = labelled.select("text").mapInArrow(_frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    summed = map_arrow(labelled.select("text"), _frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n"))
     df = dict(summed.collect())
     n = df.pop(DIMS, 0)
     idf = np.array([np.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(DIMS)], np.float32)
@@ -128,24 +135,27 @@ def fit(labelled: DataFrame, *, clusters: int = 4, sample_each: int = 400, reach
     share = sample_share(counts, sample_each)
     if not share:
         return Model(idf, np.zeros((0, DIMS), np.float32), [], [])
-    chosen = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
+    sample = labelled.where(hash_below("doc_id", share_of(share, "lang"))).where(F.octet_length("text") <= most_bytes)
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("x")).select("x.*")
     drawn: dict[str, list] = {}
-    for r in labelled.where(hash_below("doc_id", chosen)).select("text", "lang").mapInArrow(_encode, "lang string, counts binary").collect():
+    for r in map_arrow(sample, _encode, "lang string, counts binary").collect():
         drawn.setdefault(r["lang"], []).append(bytes(r["counts"]))
     centroids, languages, least = [], [], []
     for lang in sorted(drawn):
-        x = weighted(np.stack([np.frombuffer(zlib.decompress(b), np.int32) for b in sorted(drawn[lang])]).astype(np.float32), idf)
+        x = weighted(np.stack([np.frombuffer(zlib.decompress(b), np.int32) for b in sorted(drawn[lang])]), idf)
         own = spherical_kmeans(x, clusters)
         bounds = least_cosines((x @ own.T).max(axis=1), gram_classes(x), reach)
         centroids.append(own)
         languages += [lang] * len(own)
         least += [bounds] * len(own)
+    if not centroids:
+        return Model(idf, np.zeros((0, DIMS), np.float32), [], [])
     return Model(idf, np.concatenate(centroids), languages, least)
 
 
 def _predict(model: Model):
     def run(batches):
-        for part in slices(batches, 2 << 20):
+        for part in slices(batches, **_SLICE):
             names, score, rejected = model.predict(texts(part))
             more = [pa.array(names, pa.string()), pa.array(score), pa.array(rejected)]
             yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "lang_pred", "score", "rejected"])
@@ -154,9 +164,9 @@ def _predict(model: Model):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs(text, ...)`` with lang_pred, score, rejected; those names must be free."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_predict(model), f"{fields}, lang_pred string, score double, rejected boolean")
+    """``docs(text, ...)`` with lang_pred, score, rejected; columns of ``docs`` with these names make way."""
+    docs = docs.drop("lang_pred", "score", "rejected")
+    return map_arrow(docs, _predict(model), f"{fields(docs)}, lang_pred string, score double, rejected boolean")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ plain inner joins, which AQE splits when a key is hot. Aggregates have map-side
 this code and no group meets in one task. Intermediate tables live in ``spark.checkpoint.dir``.
 
 Defined cases. A null or word-less text has no shingles, is linked with nothing and is kept. Rows with a null
-doc_id have component_id null and are kept; they take no part. Rows that repeat a doc_id stay rows; each is judged
+doc_id have their set's size and component_id null, and are kept; they link with nothing. Rows that repeat a doc_id stay rows; each is judged
 by its own text, and its component's smallest id counts. Columns besides the two named ones are ignored.
 """
 
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import discard, slices, texts, word_memo, written
+from quire.llm.common import discard, map_arrow, slices, texts, word_memo, written
 from quire.llm.minhash_kernel import Signer, bitmap, jaccard_at_least, shingle_sets
 
 
@@ -73,7 +73,7 @@ def _texts_of_nodes(words_each: int):
 def _exact(words_each: int, percent: int):
     def run(batches):
         memo = word_memo()
-        for part in slices(batches, 2 << 20, "text_a"):
+        for part in slices(batches, 1 << 20, ("text_a", "text_b")):
             a = shingle_sets(texts(part, "text_a"), words_each, memo)
             b = shingle_sets(texts(part, "text_b"), words_each, memo)
             keep = [jaccard_at_least(x, y, percent) for x, y in zip(a, b, strict=True)]
@@ -158,11 +158,11 @@ def near_duplicates(
     """
     if bands * rows * bits % 64 or 64 % bits:
         raise ValueError("bands * rows * bits must fill whole 64-bit words")
-    source = docs.select("doc_id", "text").where("doc_id is not null")
+    source = docs.select("doc_id", "text")
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, node binary, bands array<long>, packed array<long>, cells array<long>"
-    signed = written(source.mapInArrow(_signatures(words_each, bands, rows, bits, cells), schema), "signed")
+    signed = written(map_arrow(source, _signatures(words_each, bands, rows, bits, cells), schema), "signed")
     nodes = written(
-        signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "bands", "packed", "cells"))),
+        signed.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "bands", "packed", "cells"))),
         "nodes",
     )
     keys = nodes.select("node", F.explode("bands").alias("key"))
@@ -176,10 +176,10 @@ def near_duplicates(
         plausible = written(plausible.select("a", "b"), "plausible")
         wanted = plausible.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
         found = wanted.join(source, wanted["first_id"] == source["doc_id"]).select("node", "text")
-        kept = written(found.mapInArrow(_texts_of_nodes(words_each), "node binary, text string").dropDuplicates(["node"]), "texts")
+        kept = written(map_arrow(found, _texts_of_nodes(words_each), "node binary, text string").dropDuplicates(["node"]), "texts")
         side = lambda s: kept.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
         joined = plausible.join(side("a"), "a").join(side("b"), "b")
-        out = written(joined.mapInArrow(_exact(words_each, percent), "a binary, b binary"), "links")
+        out = written(map_arrow(joined, _exact(words_each, percent), "a binary, b binary"), "links")
         discard(kept)
         discard(plausible)
         return out
@@ -200,20 +200,31 @@ def near_duplicates(
     left, other = side("a", "comp <> main"), side("b", "true")
     meets = (left["key"] == other["key"]) & (F.col("comp_a") != F.col("comp_b")) & (F.col("main_b") | (F.col("a") < F.col("b")))
     across = left.join(other, meets & _plausible(bits, bands * rows, percent, sigmas)).select("a", "b").distinct()
-    second = links_among(across)
-
-    closed = components(first.unionByName(second))
+    across = written(across, "across")
+    second = None if across.isEmpty() else links_among(across)
+    discard(across)
+
+    closed = placed
+    if second is not None:
+        # The first components are closed; only they, by their names, take part in what the second links add.
+        named = placed.select(F.col("node"), F.col("comp"))
+        ends = lambda s: named.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"))
+        merged = second.join(ends("a"), "a", "left").join(ends("b"), "b", "left")
+        merged = merged.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
+        whole = components(merged).withColumnsRenamed({"node": "comp", "comp": "of"})
+        moved = named.join(whole, "comp", "left").select("node", F.coalesce("of", "comp").alias("comp"))
+        alone = whole.select(F.col("comp").alias("node"), F.col("of").alias("comp")).join(named.select("node"), "node", "left_anti")
+        closed = moved.unionByName(alone)
     of_node = nodes.select("node", "first_id").join(closed, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of_node = written(of_node, "of_node")
     ids = of_node.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     ids = of_node.join(ids, "comp").select("node", "component_id")
-    for table in (mates, placed, rest):
+    for table in (mates, placed, rest, nodes, first, *([second] if second is not None else [])):
         discard(table)
     judged = signed.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
-    judged = judged.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
-    judged = judged.withColumn("kept", F.expr("doc_id = component_id"))
-    apart = docs.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("node"), F.lit(True).alias("kept"))
-    return judged.unionByName(apart)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    judged = judged.select("doc_id", "n_shingles", component, "node")
+    return judged.withColumn("kept", F.coalesce(F.expr("doc_id = component_id"), F.lit(True)))
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

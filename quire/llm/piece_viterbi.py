@@ -2,7 +2,9 @@
 
 Method. All pieces go into one Aho-Corasick automaton. A single pass over the text meets, at each position, every piece that ends
 there (the automaton's state and its output links, longest first) and relaxes the best score at that end; walking back gives the
-pieces of the highest total score. A character that no piece covers is spelled in byte pieces at ``FALLBACK`` below the lowest score.
+pieces of the highest total score. A character that no piece covers is spelled in byte pieces at ``FALLBACK`` below the lowest score;
+in a file without a byte's piece that byte is the unknown id, which decodes to nothing. Of the model file's own normalisation only
+the blank in front is followed: texts are neither NFKC-folded nor are blanks run together, so that decoding gives them back.
 Decoding joins the pieces' bytes. Blanks, not their stand-in sign, are matched, so a sign U+2581 in a text survives the round trip.
 
 Where no piece has a blank or line end behind another character (checked when the file is read), the best path cannot cross a word's
@@ -11,7 +13,7 @@ start, so words are solved once and kept in a bounded memo; otherwise whole text
 Scale. One map, no shuffle; the automaton is built once a worker from the file at ``path`` (a parameter, the same on all executors).
 
 Defined cases. A null text encodes to null and decodes to null; an empty text to no piece. Ties keep the longer last piece.
-Repeated rows are encoded each; other columns are carried along.
+Repeated rows are encoded each; other columns are carried along, but for those named as results are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, per_worker, slices
+from quire.llm.common import Memo, fields, map_arrow, per_worker, slices
 
 FALLBACK = 10.0
 
@@ -32,12 +34,12 @@ FALLBACK = 10.0
 class Pieces:
     """A model file's pieces: encode and decode one text."""
 
-    def __init__(self, path: str, memo: int = 600_000):
+    def __init__(self, path: str, memo: int = 500_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        self.automaton, self.bytes_of, self.byte_ids = ahocorasick.Automaton(), [b""] * n, [-1] * 256
+        self.automaton, self.bytes_of, self.byte_ids = ahocorasick.Automaton(), [b""] * n, [model.unk_id()] * 256
         scores = {}
         for i in range(n):
             piece = model.id_to_piece(i)
@@ -73,7 +75,7 @@ class Pieces:
                     best[to], back[to] = score, (size, i)
                 end, found = next(matches, (n, None))
             spelled = best[at] + miss
-            if best[to] is None or (spelled > best[to]):
+            if best[to] is None or spelled > best[to]:
                 best[to], back[to] = spelled, (1, -1)
         ids, at = [], n
         while at:
@@ -123,18 +125,16 @@ def _decode(path: str):
     return run
 
 
-def _fields(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs(text, ...)`` with ids and score; those names must be free."""
-    return docs.mapInArrow(_encode(path), f"{_fields(docs)}, ids array<int>, score double")
+    """``docs(text, ...)`` with ids and score; columns of ``docs`` with these names make way."""
+    docs = docs.drop("ids", "score")
+    return map_arrow(docs, _encode(path), f"{fields(docs)}, ids array<int>, score double")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded(ids, ...)`` with decoded; unknown and control ids decode to nothing."""
-    return encoded.mapInArrow(_decode(path), f"{_fields(encoded)}, decoded string")
+    """``encoded(ids, ...)`` with decoded, in whose place a column of that name goes; unknown and control ids decode to nothing."""
+    encoded = encoded.drop("decoded")
+    return map_arrow(encoded, _decode(path), f"{fields(encoded)}, decoded string")
 
 
 def op10_piece_viterbi(spark, sf_dir: str) -> DataFrame:

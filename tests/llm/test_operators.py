@@ -4,7 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
-from math import log10
+from math import exp, lgamma, log, log10
 
 import numpy as np
 import public_tokenizers
@@ -137,21 +137,44 @@ def test_shards(docs, empty, spark):
     assert histogram_shards(empty).count() == 0
 
 
+def brute_topk(rows, queries, k):
+    """rows of (id, integers or None); every pair of one dimension and unlike ids, in whole numbers."""
+    rows = [(i, v) for i, v in rows if i is not None and v is not None]
+    out = []
+    for q in sorted({i for i, _ in rows if queries(i)}):
+        found = sorted((-sum(a * b for a, b in zip(w, v, strict=True)), i) for j, w in rows if j == q for i, v in rows if i != q and len(v) == len(w))
+        out += [(q, rank, i, max(-(2**63) + 1, min(2**63 - 1, -s))) for rank, (s, i) in enumerate(found[:k], 1)]
+    return sorted(out)
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(400, 12)).round(3)
     v[7] = v[8]
-    rows = [(i, [float(x) for x in e]) for i, e in enumerate(v)] + [(900, None), (1000, [float("nan")] * 12), (1100, [None] * 12)]
-    got = exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, k=5)
-    ints = np.floor(1024 * v.astype(np.float32).astype(float)).astype(int)
-    want = []
-    for q in range(0, 400, 100):
-        best = sorted((-int(ints[q] @ ints[i]), i) for i in range(400) if i != q)[:5]
-        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
-    assert sorted(map(tuple, got.collect())) == sorted(want)
+    v[20:40] *= 50
+    rows = [(i, [float(x) for x in e]) for i, e in enumerate(v)] + [(900, None), (1000, [float("nan")] * 12), (1100, [None] * 12), (None, [1.0] * 12)]
+    ints = lambda v: [int(np.floor(1024 * float(np.float32(x)))) for x in v]
+    want = brute_topk([(i, ints(e)) for i, e in enumerate(v)], lambda i: i % 100 == 0, 5)
+    for sizes in ({}, {"tile_values": 12 * 40, "tile_queries": 2, "head": 7, "ranges": 4}):
+        got = exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, k=5, **sizes)
+        assert sorted(map(tuple, got.collect())) == want
     assert exact_topk(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+def test_topk_repeats_lengths_and_dimensions(spark):
+    rng = np.random.default_rng(3)
+    plain = [(int(i), [float(x) for x in rng.integers(-9, 9, 3)]) for i in rng.integers(0, 30, 60)]
+    rows = plain + [(1, [1.0, 0.0]), (1, [5.0, 0.0]), (10, [1.0, 1.0]), (2, [2.0, 0.0]), (20, []), (21, []), (10, [7.0])]
+    rows += [(40, [1e6, -1e6, 3.0]), (41, [1e6, 1e6, 5.0]), (41, [1e6, 1e6, 4.0]), (50, [3e12, 1.0, 0.0]), (51, [-3e12, 0.0, 0.0]), (52, [0.0, 0.0, 0.0])]
+    rows += [(60, [1e200, 0.0, 0.0]), (61, [1e200, 1e200, 0.0]), (61, [2e200, 0.0, 0.0])]
+    ints = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    want = brute_topk(ints, lambda i: i % 10 == 0, 4)
+    for sizes in ({}, {"tile_values": 30, "tile_queries": 1, "head": 3, "ranges": 3}):
+        d = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, is_query string, d int").repartition(3)
+        got = exact_topk(d, F.col("vec_id") % 10 == 0, k=4, **sizes)
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_lines(docs, texts, empty):
     base = {}
     for i, t in enumerate(texts):
@@ -238,10 +261,79 @@ def test_language_learns_from_a_text_of_one_gram(spark):
     assert all(r["lang_pred"] == r["lang"] and not r["rejected"] and 0 < r["score"] <= 1 for r in got)
 
 
-def test_context_tree(docs, texts, spark):
-    train = docs.where("doc_id % 2 = 0")
-    fitted = context_tree.fit(train, depth=2, most_words=8)
+def brute_tree(rows, depth):
+    """Context-tree weighting by the recursion of its definition, on dictionaries: log10 P of a byte behind a context."""
+    counts = {}
+    for text in rows:
+        body = b"\n" * depth + text
+        for i in range(depth, len(body)):
+            for k in range(8):
+                bits, bit = format(body[i], "08b")[:k], int(format(body[i], "08b")[k])
+                for d in range(depth + 1):
+                    counts.setdefault((body[i - d : i], bits), [0, 0])[bit] += 1
+    children = defaultdict(list)
+    for context, bits in counts:
+        if context:
+            children[context[1:], bits].append((context, bits))
+
+    def kt(n0, n1):
+        return lgamma(n0 + 0.5) + lgamma(n1 + 0.5) - 2 * lgamma(0.5) - lgamma(n0 + n1 + 1)
+
+    def weight(node):
+        own = kt(*counts[node])
+        if len(node[0]) == depth:
+            return own, 1.0
+        split = sum(weights[c][0] for c in children[node])
+        both = np.logaddexp(own, split)
+        return both - log(2), exp(own - both)
+
+    weights = {}
+    for node in sorted(counts, key=lambda n: -len(n[0])):
+        weights[node] = weight(node)
+
+    def probability(context, byte):
+        total = 0.0
+        for k in range(8):
+            bits, bit = format(byte, "08b")[:k], int(format(byte, "08b")[k])
+            inner, reach, final = 0.0, 1.0, 0.5
+            for d in range(depth + 1):
+                node = context[len(context) - d :], bits
+                if node not in counts:
+                    break
+                n0, n1 = counts[node]
+                one = (n1 + 0.5) / (n0 + n1 + 1)
+                final = inner + reach * one
+                inner, reach = inner + reach * weights[node][1] * one, reach * (1 - weights[node][1])
+            total += log10(final if bit else 1 - final)
+        return total
+
+    return probability
+
+
+@pytest.mark.parametrize("depth,top", [(1, 1), (2, 1), (3, 2), (3, 3), (7, 2)])
+def test_context_tree_is_brute_force(spark, depth, top):
+    rng = np.random.default_rng(depth)
+    texts = ["".join(rng.choice(list("aAb  c"), rng.integers(0, 40))) for _ in range(12)] + [None, "  ", "é"]
+    held = ["abab c", "zz a", "", None, "cab" * 30]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    fitted = context_tree.fit(d, depth=depth, top=top)
+    clash = spark.createDataFrame([(i, t, 1.0, 2, "x", 3) for i, t in enumerate(texts + held)], "doc_id long, text string, score double, _row int, row string, task int").repartition(2)
+    got = context_tree.score_texts(clash, fitted, block_bytes=20)
+    assert got.columns == ["doc_id", "row", "task", *context_tree.RESULTS]
+    bodies = [b" ".join((t or "").encode().lower().split()) + b"\n" for t in texts]
+    probability = brute_tree(bodies, depth)
+    for r in got.collect():
+        body = b" ".join(((texts + held)[r["doc_id"]] or "").encode().lower().split()) + b"\n"
+        padded = b"\n" * depth + body
+        want = sum(probability(padded[i : i + depth], padded[i + depth]) for i in range(len(body)))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+        assert r["bits_per_byte"] == pytest.approx(-want / log10(2) / len(body))
+
+
+def test_context_tree(docs, texts, spark, empty):
+    fitted = context_tree.fit(docs.where("doc_id % 2 = 0"), depth=2)
     got = context_tree.score_texts(docs.select("doc_id", "text"), fitted).collect()
+    assert len(got) == docs.count()
     lower = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
     rows = [t for i, t in enumerate(texts) if i % 2 == 0] + [texts[6]]
     counts = Counter(w for t in rows for w in [*lower(t), b"\n"])
@@ -252,12 +344,10 @@ def test_context_tree(docs, texts, spark):
         tokens = [*lower(texts[r["doc_id"]]), b"\n"]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), n)
         assert r["base_score"] == pytest.approx(sum(log10((counts[w] + 1) / (n + v + 1)) for w in tokens))
-    # In every context the bytes' probabilities sum to 1, known or not.
-    tree = fitted.tree
-    scorer = context_tree.Scorer(tree.depth, tree.nodes, tree.grams)
-    for context in (b"th", b"\n\n", b"\xff\xfe", b"a\n"):
-        grams = np.array([context[0] << 16 | context[1] << 8 | b for b in range(256)], np.uint64)
-        assert (10 ** scorer.score(grams)).sum() == pytest.approx(1, abs=1e-3)
+    none = context_tree.fit(empty)
+    assert context_tree.score_texts(empty, none).count() == 0
+    [r] = context_tree.score_texts(docs.where("doc_id = 5").select("doc_id", "text"), none).collect()
+    assert (r["train_tokens"], r["n_known"], r["base_score"]) == (0, 0, 0.0) and r["score"] == pytest.approx(8 * len(b"one two\n") * log10(0.5))
 
 
 def test_pieces(docs, texts, empty):
