@@ -28,7 +28,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with batches of at most ``BATCH_BYTES``, but for a longer row. Sets the session's bound if that is wider."""
     key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
     held = conf.get(key).lower().rstrip("b")

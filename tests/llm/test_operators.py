@@ -317,17 +317,34 @@ def test_context_tree_is_brute_force(spark, depth, top):
     held = ["abab c", "zz a", "", None, "cab" * 30]
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     fitted = context_tree.fit(d, depth=depth, top=top)
-    clash = spark.createDataFrame([(i, t, 1.0, 2, "x", 3) for i, t in enumerate(texts + held)], "doc_id long, text string, score double, _row int, row string, task int").repartition(2)
+    clash = spark.createDataFrame([(i, t, 1.0, 2, "x", 3) for i, t in enumerate(texts + held)], "doc_id long, text string, score double, _row int, row string, block int").repartition(2)
     got = context_tree.score_texts(clash, fitted, block_bytes=20)
-    assert got.columns == ["doc_id", "row", "task", *context_tree.RESULTS]
+    assert got.columns == ["doc_id", "row", "block", *context_tree.RESULTS]
     bodies = [b" ".join((t or "").encode().lower().split()) + b"\n" for t in texts]
     probability = brute_tree(bodies, depth)
     for r in got.collect():
         body = b" ".join(((texts + held)[r["doc_id"]] or "").encode().lower().split()) + b"\n"
         padded = b"\n" * depth + body
         want = sum(probability(padded[i : i + depth], padded[i + depth]) for i in range(len(body)))
-        assert r["score"] == pytest.approx(want, rel=1e-9)
-        assert r["bits_per_byte"] == pytest.approx(-want / log10(2) / len(body))
+        assert r["score"] == pytest.approx(want, rel=1e-6)  # answers are four-byte floats
+        assert r["bits_per_byte"] == pytest.approx(-want / log10(2) / len(body), rel=1e-6)
+
+
+def test_context_chunks_are_whole():
+    rng = np.random.default_rng(1)
+    raw = [("".join(rng.choice(list("ab  "), n))).encode() for n in rng.integers(0, 60, 40)] + [b"", b" ", b"x" * 90, b"y" * 33 + b" z"]
+    bodies = [b" ".join(t.split()) + b"\n" for t in raw]
+    chunks = [context_tree.Chunk([(i, (b"\n" * 7 + b[:a])[-7:], p)], len(raw)) for i, b in enumerate(bodies) for a, p in zip(np.cumsum([0, *map(len, context_tree._pieces(b, 9))]), context_tree._pieces(b, 9), strict=False)]
+    assert b"".join(c.u[7:-8].tobytes() for c in chunks) == b"".join(bodies)
+    whole = context_tree.Chunk([(i, b"\n" * 7, b) for i, b in enumerate(bodies)], len(raw))
+    for depth in (0, 3, 7):
+        assert (np.concatenate([c.grams(depth) for c in chunks]) == whole.grams(depth)).all()
+        want = [int.from_bytes((b"\n" * 7 + b)[i + 7 - depth : i + 8], "big") for b in bodies for i in range(len(b))]
+        assert whole.grams(depth).tolist() == want
+    assert (sum(c.words()[1] for c in chunks) == whole.words()[1]).all() and whole.words()[1].tolist() == [len(t.split()) for t in raw]
+    keys = np.concatenate([c.words()[0] for c in chunks])
+    assert (keys == whole.words()[0]).all() and len(set(keys.tolist())) == len({w for t in raw for w in t.split()})
+    assert sum(c.ends for c in chunks) == len(raw)
 
 
 def test_context_tree(docs, texts, spark, empty):
