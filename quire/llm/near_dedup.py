@@ -211,7 +211,7 @@ def near_duplicates(
         ends = lambda s: named.select(F.col("node").alias(s), F.col("comp").alias(f"comp_{s}"))
         merged = second.join(ends("a"), "a", "left").join(ends("b"), "b", "left")
         merged = merged.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b"))
-        whole = components(merged).withColumnsRenamed({"node": "comp", "comp": "of"})
+        whole = components(merged).select(F.col("node").alias("comp"), F.col("comp").alias("of"))
         moved = named.join(whole, "comp", "left").select("node", F.coalesce("of", "comp").alias("comp"))
         alone = whole.select(F.col("comp").alias("node"), F.col("of").alias("comp")).join(named.select("node"), "node", "left_anti")
         closed = moved.unionByName(alone)

@@ -85,6 +85,38 @@ def test_near_duplicates(docs, texts, empty):
     assert near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("step", [3, 9, 14])
+def test_near_duplicate_chains(spark, step):
+    """Chains whose ends are far apart, and loose families, of which a bucket's middle is linked with some only."""
+    rng = np.random.default_rng(step)
+    word = lambda: f"w{rng.integers(10**9)}"
+    rows, now = [], [word() for _ in range(200)]
+    for _ in range(60):
+        for i in rng.choice(200, step, replace=False):
+            now[i] = word()
+        rows.append(" ".join(now))
+    core = [word() for _ in range(200)]
+    for _ in range(40):  # a family around one text, each about as far from the others as the threshold
+        one = list(core)
+        for i in rng.choice(200, step // 2 + 3, replace=False):
+            one[i] = word()
+        rows.append(" ".join(one))
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    sets = [shingles(t, 2) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in combinations(range(len(rows)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, words_each=2).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 def test_packing(docs, texts, empty):
     tokenizer = Tokenizer.from_file(BPE)
     pieces = harmonic_packing(docs, BPE).collect()
