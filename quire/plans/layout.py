@@ -143,7 +143,7 @@ def _on_text(change):
 _TEXT_PASSES = [
     ("controls", (), lambda d, x: d.replace(x, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")),
     ("blanks", ("controls",), lambda d, x: d.replace(x, r"[ \t]+", " ")),
-    ("blank_lines", ("blanks",), lambda d, x: d.replace(x, r"(?:\n ?){3,}", "__")),
+    ("blank_lines", ("blanks",), lambda d, x: d.replace(x, r"(?:\n ?){3,}", "\n\n")),
     ("tail", ("blanks", "blank_lines"), lambda d, x: d.replace(x, r"[ \n]+$", "")),
 ]
 
