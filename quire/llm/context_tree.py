@@ -268,10 +268,9 @@ def _merge(top: int, tasks: int):
         sizes = t.column("n").to_pylist()
         keys = np.concatenate([unpack(k, n) for k, n in zip(t.column("keys").to_pylist(), sizes, strict=True)])
         counts = np.concatenate([_unzip(c, n, np.int64) for c, n in zip(t.column("counts").to_pylist(), sizes, strict=True)])
-        keys, counts = keys[counts > 0], counts[counts > 0]  # what only held-out texts have is not known
-        keys, counts = summed(keys, counts)
+        keys, counts = summed(keys, counts)  # what only held-out texts have has count 0
         rows = [] if not len(keys) else _rows_by_task(keys, top, tasks) if kind == 0 else [(0, slice(None))]
-        out = [(kind, part, task, len(keys[at]), pack(keys[at]), _zip(counts[at]), int(counts[at].sum())) for task, at in rows]
+        out = [(kind, part, task, len(keys[at]), int((counts[at] > 0).sum()), pack(keys[at]), _zip(counts[at]), int(counts[at].sum())) for task, at in rows]
         return _table(_MERGED, out)
 
     return run
@@ -281,17 +280,18 @@ def _table(columns: dict, rows: list[tuple]) -> pa.Table:
     return pa.table({c: pa.array(x, k) for (c, k), x in zip(columns.items(), list(zip(*rows, strict=True)) or [()] * len(columns), strict=True)})
 
 
-_MERGED = {"kind": pa.int8(), "part": pa.int32(), "task": pa.int64(), "n": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "total": pa.int64()}
-_MERGED_SQL = "kind byte, part int, task long, n long, keys binary, counts binary, total long"
+_MERGED = {"kind": pa.int8(), "part": pa.int32(), "task": pa.int64(), "n": pa.int64(), "known": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "total": pa.int64()}
+_MERGED_SQL = "kind byte, part int, task long, n long, known long, keys binary, counts binary, total long"
 
 
 def _read(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The grams and counts of packed rows, rising."""
+    """The grams that training has and their counts, of packed rows, rising."""
     sizes = t.column("n").to_pylist()
     if not sizes:
         return np.empty(0, np.uint64), np.empty(0)
     keys = np.concatenate([unpack(k, n) for k, n in zip(t.column("keys").to_pylist(), sizes, strict=True)])
     counts = np.concatenate([_unzip(c, n, np.int64) for c, n in zip(t.column("counts").to_pylist(), sizes, strict=True)])
+    keys, counts = keys[counts > 0], counts[counts > 0]
     order = np.argsort(keys)
     return keys[order], counts[order].astype(float)
 
@@ -407,7 +407,10 @@ def _hand_up(depth: int, top: int):
     """A task's subtrees -> sums over the children of each node of depth ``top - 1``: log weights, zeros, ones."""
 
     def run(t: pa.Table) -> pa.Table:
-        tree = subtree(*_read(t), depth, top)
+        gram, n = _read(t)
+        if not len(gram):
+            return pa.table({"node": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("weight", "zeros", "ones")}})
+        tree = subtree(gram, n, depth, top)
         parent = _low(tree.keys[0] >> _BYTE, top - 1) << _BYTE | tree.keys[0] & np.uint64(255)
         unique, at = np.unique(parent, return_inverse=True)
         sums = [np.bincount(at, x, len(unique)) for x in (tree.weight, *tree.highest)]
@@ -459,21 +462,18 @@ def _asked(top: int, tasks: int):
 _TOLD = {"kind": pa.int8(), "part": pa.int32(), "n": pa.int64(), "keys": pa.binary(), "values": pa.binary()}
 
 
-def _evaluate(depth: int, top: int, above: Levels):
+def _told(depth: int, top: int, above: Levels, counts: pa.Table, asked: pa.Table) -> pa.Table:
     """A task's counts and the grams asked for -> (kind 0, part, n, keys, values: log10 probabilities)."""
-
-    def run(_, counts: pa.Table, asked: pa.Table) -> pa.Table:
-        tree = subtree(*_read(counts), depth, top) if counts.num_rows and asked.num_rows else None
-        if tree is not None:
-            parent = _low(tree.keys[0] >> _BYTE, top - 1) << _BYTE | tree.keys[0] & np.uint64(255)
-            at = np.searchsorted(above.keys[-1], parent)
-            tree.mix(above.mixed[at], above.reach[at])
-        out = []
-        for part, n, packed in zip(asked.column("part").to_pylist(), asked.column("n").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-            out.append((0, part, n, packed, _zip(log_probabilities(unpack(packed, n), above, tree).astype(np.float32))))
-        return _table(_TOLD, out)
-
-    return run
+    gram, n = _read(counts)
+    tree = subtree(gram, n, depth, top) if len(gram) and asked.num_rows else None
+    if tree is not None:
+        parent = _low(tree.keys[0] >> _BYTE, top - 1) << _BYTE | tree.keys[0] & np.uint64(255)
+        at = np.searchsorted(above.keys[-1], parent)
+        tree.mix(above.mixed[at], above.reach[at])
+    out = []
+    for part, n, packed in zip(*(asked.column(c).to_pylist() for c in ("part", "n", "keys")), strict=True):
+        out.append((0, part, n, packed, _zip(log_probabilities(unpack(packed, n), above, tree).astype(np.float32))))
+    return _table(_TOLD, out)
 
 
 def _answer(key, asked: pa.Table, told: pa.Table) -> pa.Table:
@@ -490,8 +490,8 @@ def _answer(key, asked: pa.Table, told: pa.Table) -> pa.Table:
         wanted = unpack(packed, n)
         at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
         found = np.where(keys[at] == wanted, values[at], 0).astype(dtype) if len(keys) else np.zeros(n, dtype)
-        out.append((block, kind, n, packed, _zip(found)))
-    return _table({"block": pa.int64(), "kind": pa.int8(), "n": pa.int64(), "keys": pa.binary(), "values": pa.binary()}, out)
+        out.append((block, kind, part, n, _zip(found)))
+    return _table({"block": pa.int64(), "kind": pa.int8(), "part": pa.int32(), "n": pa.int64(), "values": pa.binary()}, out)
 
 
 class Fitted:
@@ -511,7 +511,7 @@ def _sizes(docs: DataFrame, part_bytes: int, task_grams: int) -> tuple[int, int]
 def _weighed(packed: DataFrame, depth: int, top: int, parts: int, tasks: int) -> Fitted:
     """The model of all counts in ``packed``."""
     counted = written(packed.groupBy("kind", "part").applyInArrow(_merge(top, tasks), _MERGED_SQL), "counts")
-    n, v = counted.where("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n, v = counted.where("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
     up = counted.where("kind = 0").select("task", "n", "keys", "counts")
     up = up.groupBy("task").applyInArrow(_hand_up(depth, top), "node long, weight double, zeros double, ones double")
     up = up.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("weight", "zeros", "ones"))).toArrow()
@@ -591,19 +591,27 @@ def _needs(depth: int, parts: int):
     return run
 
 
-def _score(depth: int, n: int, v: int, kept: list[str]):
+def _score(depth: int, parts: int, n: int, v: int, kept: list[str]):
     def run(_, block: pa.Table, answers: pa.Table) -> pa.Table:
         floor = math.log10(n + v + 1)
         sizes, data = block.column("sizes")[0].as_py(), block.column("texts")[0].as_py()
         rows = block.column("rows").combine_chunks().flatten()
-        raw, tables = _texts_of(sizes, data), []
+        raw, keys, tables = _texts_of(sizes, data), {0: [], 1: []}, []
+        for chunk in chunks(raw, 4 << 20):
+            # The block's keys are found anew, which costs less than moving them twice.
+            keys[0].append(distinct(chunk.grams(depth))[0])
+            keys[1].append(distinct(np.concatenate([chunk.words()[0], np.full(chunk.ends, END_WORD)]))[0])
         for kind, dtype in ((0, np.float32), (1, np.int64)):
+            mine = distinct(np.concatenate(keys.pop(kind)))[0]
+            order, first = _by_part(mine, parts)
+            values = np.zeros(len(mine))
             told = answers.filter(pa.compute.equal(answers.column("kind"), kind))
-            ns = told.column("n").to_pylist()
-            keys = np.concatenate([unpack(k, m) for k, m in zip(told.column("keys").to_pylist(), ns, strict=True)])
-            values = np.concatenate([_unzip(x, m, dtype) for x, m in zip(told.column("values").to_pylist(), ns, strict=True)])
-            order = np.argsort(keys)
-            tables.append((keys[order], values[order].astype(float)))
+            for p, m, packed in zip(*(told.column(c).to_pylist() for c in ("part", "n", "values")), strict=True):
+                at = order[first[p] : first[p + 1]]
+                if m != len(at):
+                    raise RuntimeError("a block's answers are not for its grams")
+                values[at] = _unzip(packed, m, dtype)
+            tables.append((mine, values))
         del answers
         score, gain, known, lengths, tokens = (np.zeros(len(raw)) for _ in range(5))
         for chunk in chunks(raw):
@@ -647,26 +655,29 @@ def _blocks(docs: DataFrame, train, block_bytes: int) -> DataFrame:
     return written(map_arrow(with_train, _in_blocks(block_bytes, docs.drop("text").columns), schema), "blocks")
 
 
-def _answered(blocks: DataFrame, needed: DataFrame, fitted: Fitted) -> DataFrame:
-    depth, top, tasks = fitted.depth, fitted.top, fitted.tasks
-    needed = needed.select("kind", "part", "block", "n", "keys")
-    asked = needed.where("kind = 0").groupBy("part").applyInArrow(_asked(top, tasks), "part int, task long, n long, keys binary")
-    counts = fitted.counts.where("kind = 0").select("task", "n", "keys", "counts")
-    told = counts.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_evaluate(depth, top, fitted.above), "kind byte, part int, n long, keys binary, values binary")
+_TOLD_SQL = "kind byte, part int, n long, keys binary, values binary"
+
+
+def _answered(blocks: DataFrame, needed: DataFrame, told: DataFrame, fitted: Fitted) -> DataFrame:
+    """Scores of all texts: ``told`` has the values of all grams asked for; the words' values are their counts."""
     words = fitted.counts.where("kind = 1").select("kind", "part", "n", "keys", F.col("counts").alias("values"))
-    answers = needed.groupBy("kind", "part").cogroup(told.unionByName(words).groupBy("kind", "part"))
-    answers = answers.applyInArrow(_answer, "block long, kind byte, n long, keys binary, values binary")
+    answers = needed.select("kind", "part", "block", "n", "keys").groupBy("kind", "part").cogroup(told.unionByName(words).groupBy("kind", "part"))
+    answers = answers.applyInArrow(_answer, "block long, kind byte, part int, n long, values binary")
     kept = T.StructType([f for f in blocks.schema["rows"].dataType.elementType if f.name != "_row"])
     schema = T.StructType([*kept, *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")])
     joined = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-    return joined.applyInArrow(_score(depth, fitted.n, fitted.v, kept.names), schema)
+    return joined.applyInArrow(_score(fitted.depth, fitted.parts, fitted.n, fitted.v, kept.names), schema)
 
 
 def score_texts(docs: DataFrame, fitted: Fitted, *, block_bytes: int = 24 << 20) -> DataFrame:
     """``docs(text, ...)``, less the text, with n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     blocks = _blocks(docs, F.lit(False), block_bytes)
-    needed = written(map_arrow(blocks.drop("rows"), _needs(fitted.depth, fitted.parts), _PACKED_SQL), "needed")
-    return _answered(blocks, needed, fitted)
+    depth, parts, top, tasks, above = fitted.depth, fitted.parts, fitted.top, fitted.tasks, fitted.above
+    needed = written(map_arrow(blocks.drop("rows"), _needs(depth, parts), _PACKED_SQL), "needed")
+    asked = needed.where("kind = 0").select("part", "n", "keys").groupBy("part").applyInArrow(_asked(top, tasks), "part int, task long, n long, keys binary")
+    counts = fitted.counts.where("kind = 0").select("task", "n", "keys", "counts")
+    told = counts.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(lambda _, c, a: _told(depth, top, above, c, a), _TOLD_SQL)
+    return _answered(blocks, needed, told, fitted)
 
 
 def fit_and_score(
@@ -677,7 +688,11 @@ def fit_and_score(
     parts, tasks = _sizes(docs.select("text"), part_bytes, task_grams)
     blocks = _blocks(docs, train, block_bytes)
     needed = written(map_arrow(blocks.drop("rows"), _needs(depth, parts), _PACKED_SQL), "needed")
-    return _answered(blocks, needed, _weighed(needed, depth, top, parts, tasks))
+    fitted = _weighed(needed, depth, top, parts, tasks)
+    # The merged counts hold every gram that some block asks for, so they are the requests, too.
+    above, rows = fitted.above, fitted.counts.where("kind = 0").select("part", "task", "n", "keys", "counts")
+    told = rows.groupBy("task").applyInArrow(lambda t: _told(depth, top, above, t, t), _TOLD_SQL)
+    return _answered(blocks, needed, told, fitted)
 
 
 def op8_context_tree(spark, sf_dir: str) -> DataFrame:

@@ -379,6 +379,16 @@ def test_context_chunks_are_whole():
     assert sum(c.ends for c in chunks) == len(raw)
 
 
+def test_context_tree_at_once(docs):
+    """Learning and scoring in one pass gives what the two apart give."""
+    d = docs.select("doc_id", "text").where("doc_id is not null")
+    train = F.col("doc_id") % 3 == 0
+    at_once = context_tree.fit_and_score(d, train, depth=3, block_bytes=20_000).collect()
+    apart = context_tree.score_texts(d, context_tree.fit(d.where(train), depth=3)).collect()
+    key = lambda r: (r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), float(f"{r['score']:.4e}"))
+    assert sorted(map(key, at_once)) == sorted(map(key, apart)) and len(at_once) == d.count()
+
+
 def test_context_tree(docs, texts, spark, empty):
     fitted = context_tree.fit(docs.where("doc_id % 2 = 0"), depth=2)
     got = context_tree.score_texts(docs.select("doc_id", "text"), fitted).collect()
