@@ -1,9 +1,9 @@
 """Operator 2 [native]: licences of files, by TF-IDF cosine to templates and inheritance along directories.
 
-Method. Every line of every whole text, and every whole text, is a unit. A unit is a sparse TF-IDF vector over its words
+Method. Every run of one to ``wrap`` lines of every whole text (a notice may be wrapped), and every whole text, is a unit. A unit is a sparse TF-IDF vector over its words
 other than stop words (idf from the template collection; a word of no template has the idf of document frequency 0 and counts in the norm). Its
 cosine to each template comes from an equi-join of its terms with the template terms; the best one at ``least`` or above is
-its licence. A line names the licence of its file (a header); a whole text that is a template makes its file a licence
+its licence. A run of lines names the licence of its file (a header); a whole text that is a template makes its file a licence
 file of its directory. A file without a header takes the licence of the nearest ancestor directory with a licence file,
 by an equi-join of its ancestor paths with those directories.
 
@@ -17,7 +17,7 @@ constant) are broadcast. Aggregates are keyed by unit and term, by file, or by d
 on the directory without a hint: a hot directory is split by AQE, a small side is broadcast by its measured size.
 
 Defined cases. A null or empty text has no header. A null path is treated as the file of no directory: it inherits nothing.
-Repeated rows are scanned each. Equal cosines go to the smaller licence name; of several licence files in a directory, the
+Repeated rows are scanned each. Equal cosines go to the smaller licence name, then to the shorter and earlier run; of several licence files in a directory, the
 best cosine, then the smaller name, counts. Columns besides the path, the text and the id are ignored.
 """
 
@@ -30,7 +30,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
+from quire.llm.common import discard, written
 
 #: Licence notices and short licence texts, as they stand in headers and licence files. Fixed values.
 TEMPLATES = (
@@ -48,6 +48,20 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
+    # Identifier lines and the usual notices above source code.
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("MIT", "Licensed under the MIT License. See LICENSE in the project root for license information."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    # Whole licence files.
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 )
 TOKEN = r"[a-z0-9]+"
 #: Stop words, which no vector counts. Fixed values.
@@ -112,19 +126,31 @@ def matches(units: DataFrame, templates: Templates) -> DataFrame:
     return best.select("unit", F.col("b.licence").alias("licence"), (-F.col("b.col1")).alias("cosine"))
 
 
-def license_scan(files: DataFrame, *, key: str = "doc_id", least: float = 0.75, templates=TEMPLATES) -> DataFrame:
+def license_scan(files: DataFrame, *, key: str = "doc_id", least: float = 0.75, templates=TEMPLATES, wrap: int = 4) -> DataFrame:
     """``files(<key>, path, text)`` -> key, path, header, header_cosine, is_licence_file, inherited_from, licence."""
     model = Templates(least, templates)
-    rows = files.select(F.col(key), "path", "text").withColumn("row", F.monotonically_increasing_id())
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("part")))
-    found = rows.where(model.anchored(F.col("text"))).select("row", "text", F.filter(lines, lambda x: model.anchored(x["part"])).alias("lines"))
-    one = F.array(F.struct(F.lit(-1).alias("i"), F.col("text").alias("part")))
+    # The rows are written with their numbers, so that a number is one row's however often it is read.
+    rows = written(files.select(F.col(key), "path", "text").withColumn("row", F.monotonically_increasing_id()), "files")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("part"), model.anchored(x).alias("hit")))
+    found = rows.where(model.anchored(F.col("text"))).select("row", "text", lines.alias("lines"))
+
+    def runs(n: int):
+        """Runs of n lines of which one has an anchor, with the line each begins at."""
+        at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: i + n <= F.size("lines"))
+        mine = F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.slice("lines", i + 1, n).alias("of")))
+        mine = F.filter(mine, lambda w: F.exists(w["of"], lambda x: x["hit"]))
+        mine = F.transform(mine, lambda w: F.struct(w["i"].alias("i"), w["n"].alias("n"), F.array_join(F.transform(w["of"], lambda x: x["part"]), "\n").alias("part")))
+        return mine
+
+    one = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("n"), F.col("text").alias("part")))
     one = F.when(model.may_be_whole(F.col("text")), one).otherwise(F.slice(one, 1, 0))
-    units = found.select("row", F.explode(F.concat(one, "lines")).alias("u")).select(F.struct("row", F.col("u.i").alias("i")).alias("unit"), "u.part")
-    hit = matches(units, model).select("unit.row", "unit.i", "licence", "cosine")
-    best = lambda cond: F.min(F.when(cond, F.struct((-F.col("cosine")).alias("c"), "licence", "i")))
+    units = found.select("row", F.explode(F.concat(one, *[runs(n) for n in range(1, wrap + 1)])).alias("u"))
+    units = units.select(F.struct("row", F.col("u.i").alias("i"), F.col("u.n").alias("n")).alias("unit"), "u.part")
+    hit = matches(units, model).select("unit.row", "unit.i", "unit.n", "licence", "cosine")
+    best = lambda cond: F.min(F.when(cond, F.struct((-F.col("cosine")).alias("c"), "licence", "n", "i")))
     hit = hit.groupBy("row").agg(best(F.col("i") >= 0).alias("h"), best(F.col("i") < 0).alias("f"))
     keyed = written(rows.drop("text").join(hit, "row", "left"), "licences")
+    discard(rows)
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     of_folder = keyed.where("f is not null and path is not null").groupBy(folder.alias("folder")).agg(F.min(F.struct("f.c", "f.licence"))["licence"].alias("of_folder"))
     # a/b/c.txt -> a/b, a and the root, deepest first.

@@ -75,7 +75,8 @@ with idf(term, idf) as (values {idf}), weights(term, template, licence, weight)
 files as (select doc_id, concat_ws('/', source, coalesce(lang, '-'), doc_id::varchar) as path, text from documents),
 units as (
   select doc_id, -1 as i, text as part from files
-  union all select doc_id, i - 1, l[i] from (select doc_id, string_split(text, chr(10)) as l from files), unnest(range(1, len(l) + 1)) as t(i)
+  union all select doc_id, (i - 1) * 4 + n - 1, array_to_string(l[i:i + n - 1], chr(10))
+  from (select doc_id, string_split(text, chr(10)) as l from files), unnest(range(1, len(l) + 1)) as t(i), unnest(range(1, 5)) as u(n) where i + n - 1 <= len(l)
 ), tf as (
   select doc_id, i, term, count(*) as tf from (select doc_id, i, unnest(regexp_extract_all(lower(part), '{TOKEN}')) as term from units)
   where term not in ({', '.join(text(t) for t in sorted(STOP))}) group by all

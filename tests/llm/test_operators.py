@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small fixtures with nulls, ties, repeats and long texts."""
 
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -16,7 +17,7 @@ from quire.llm import attention_quality, context_tree, crf_lines, language_id
 from quire.llm.exact_topk import exact_topk
 from quire.llm.harmonic_packing import cut, harmonic_packing
 from quire.llm.histogram_shards import histogram_shards
-from quire.llm.license_scan import license_scan
+from quire.llm.license_scan import TEMPLATES, license_scan
 from quire.llm.near_dedup import near_duplicates
 from quire.llm.piece_viterbi import Pieces, decode, encode
 
@@ -442,3 +443,17 @@ def test_licences(spark, empty):
     assert licence[2] == (None, "a", "Apache-2.0") and licence[3] == ("MIT", None, "MIT") and licence[4] == (None, None, None)
     assert licence[5] == ("proprietary", None, "proprietary") and licence[7] == (None, "a/b/c", "proprietary")
     assert license_scan(empty.select("doc_id", F.col("source").alias("path"), "text")).count() == 0
+
+
+def test_whole_licences_and_wrapped_headers(spark):
+    whole = {name: text for name, text in TEMPLATES if len(text) > 400}
+    wrap = lambda t, n=70: "\n".join(textwrap.wrap(t, n))
+    apache = whole["Apache-2.0"]
+    rows = [(1, "m/LICENSE", f"MIT License\n\nCopyright (c) 2019 Some Body\n\n{wrap(whole['MIT'])}"), (2, "m/src/a.c", "int main;"), (3, "b/LICENSE.txt", f"Copyright 2001, Them\n{wrap(whole['BSD-2-Clause'])}")]
+    rows += [(4, "i/COPYING", wrap(whole["ISC"], 60)), (5, "i/x/y/z", "1"), (6, "g/a.py", f"# {wrap(whole['GPL-3.0']).replace(chr(10), chr(10) + '# ')}\n" + "x = 1  # some other code\n" * 80)]
+    rows += [(7, "n/a", "// SPDX-License-Identifier: MIT\ncode"), (8, "n/b", "code\n" * 30 + wrap(apache, 40).split("\n\n")[0] + "\ncode" * 30)]
+    rows += [(9, "n/c", "the software is used with permission of the author, who has it under control\n" * 3), (10, "n/d", "/* This Source Code Form is subject to the terms of\n * the Mozilla Public License, v. 2.0. */\ncode")]
+    got = {r["doc_id"]: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert [(got[i]["licence"], got[i]["is_licence_file"]) for i in (1, 3, 4)] == [("MIT", True), ("BSD-2-Clause", True), ("ISC", True)]
+    assert (got[2]["inherited_from"], got[2]["licence"]) == ("m", "MIT") and (got[5]["inherited_from"], got[5]["licence"]) == ("i", "ISC")
+    assert [got[i]["header"] for i in (6, 7, 8, 9, 10)] == ["GPL-3.0", "MIT", "Apache-2.0", None, "MPL-2.0"]
