@@ -7,14 +7,15 @@ its licence. A run of lines names the licence of its file (a header); a whole te
 file of its directory. A file without a header takes the licence of the nearest ancestor directory with a licence file,
 by an equi-join of its ancestor paths with those directories.
 
-Units without an *anchor* word are left out before they are split into words, and rightly: anchors are chosen
-so that what a template weighs outside its anchors is below ``least`` of its length; by Cauchy-Schwarz no
-unit without an anchor reaches ``least``. So are whole texts whose words of no template outweigh the others, by counts and the
-same inequality. Nothing is capped or sampled.
+Each line is split into words once. A unit without an *anchor* word is left out, and rightly: anchors are chosen so that what a
+template weighs outside its anchors is below ``least`` of its length; by Cauchy-Schwarz no unit without an anchor reaches
+``least``. So is a unit whose words of no template outweigh the others, by their counts and the same inequality. Nothing is capped or
+sampled.
 
-Scale. DataFrame functions only. The text is read once; only units with an anchor are exploded. Template terms (a
-constant) are broadcast. Aggregates are keyed by unit and term, by file, or by directory, with partial sums. Inheritance joins
-on the directory without a hint: a hot directory is split by AQE, a small side is broadcast by its measured size.
+Scale. DataFrame functions only. The text is read once and goes no further than its first projection: what is written are the words
+of the units left, with the row's number, id and path. Template terms (a constant) are broadcast. Aggregates are keyed by unit and
+term, by file, or by directory, with partial sums. Inheritance joins on the directory without a hint: a hot directory is split by
+AQE, a small side is broadcast by its measured size.
 
 Defined cases. A null or empty text has no header. A null path is treated as the file of no directory: it inherits nothing.
 Repeated rows are scanned each. Equal cosines go to the smaller licence name, then to the shorter and earlier run; of several licence files in a directory, the
@@ -68,10 +69,6 @@ TOKEN = r"[a-z0-9]+"
 STOP = frozenset("a all an and any are as at be by can for from has have in is it its may no not of on or that the these this to under use was with work you".split())
 
 
-def _any_of(words) -> str:
-    return r"(?i)(?<![a-z0-9])(?:" + "|".join(sorted(words)) + r")(?![a-z0-9])"
-
-
 class Templates:
     """The template vectors: idf of each term, unit weights, and anchors for ``least``."""
 
@@ -96,27 +93,35 @@ class Templates:
         self.anchors = sorted(anchors)
 
     def anchored(self, text):
-        return text.rlike(_any_of(self.anchors))
-
-    def may_be_whole(self, text):
-        """False only where a whole text can't reach ``least``: words of no template outweigh the others.
+        """Whether a text has an anchor at all; words are tried by their first letters, most texts fail there."""
+        by_letter: dict[str, list[str]] = {}
+        for word in self.anchors:
+            by_letter.setdefault(word[0], []).append(word[1:])
+        words = "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(by_letter.items()))
+        return F.lower(text).rlike(f"(?<![a-z0-9])(?:{words})(?![a-z0-9])")
+
+    def counted(self, line):
+        """A line's words, and how many of them are anchors, words of a template, and neither these nor stop words."""
+        words = F.regexp_extract_all(F.lower(line), F.lit(f"({TOKEN})"))
+        words = F.filter(words, lambda t: ~t.isin(sorted(STOP)))
+        return F.struct(words.alias("words"), F.size(F.filter(words, lambda t: t.isin(self.anchors))).alias("anchors"), F.size(F.filter(words, lambda t: t.isin(list(self.idf)))).alias("own"))
+
+    def may_match(self, anchors, own, words):
+        """False only where a unit can't reach ``least``: it has no anchor, or words of no template outweigh the others.
 
         With v template words and o others, the others' squares sum to ``o * unknown ** 2`` at least and the
         template words' length is ``v * top`` at most.
         """
-        own = F.regexp_count(text, F.lit(_any_of(self.idf)))
-        other = F.regexp_count(F.lower(text), F.lit(TOKEN)) - F.regexp_count(text, F.lit(_any_of([*self.idf, *STOP])))
         most = (1 / self.least**2 - 1) * (max(self.idf.values()) / self.unknown) ** 2
-        return other <= most * own * own
+        return (anchors > 0) & (words - own <= most * own * own)
 
 
 def matches(units: DataFrame, templates: Templates) -> DataFrame:
-    """``units(unit, part)`` -> unit, licence, cosine (6 decimals) of the best template at ``least`` or above."""
+    """``units(unit, words)`` -> unit, licence, cosine (6 decimals) of the best template at ``least`` or above."""
     spark = units.sparkSession
     idf = spark.createDataFrame(list(templates.idf.items()), "term string, idf double")
     weights = spark.createDataFrame(templates.weights, "term string, template int, licence string, weight double")
-    terms = units.select("unit", F.explode(F.regexp_extract_all(F.lower("part"), F.lit(f"({TOKEN})"))).alias("term"))
-    counted = terms.where(~F.col("term").isin(sorted(STOP))).groupBy("unit", "term").agg(F.count("*").alias("tf"))
+    counted = units.select("unit", F.explode("words").alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
     counted = counted.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(templates.unknown)))
     norms = counted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("term", "w"))).alias("known"))
     known = norms.select("unit", "norm", F.explode("known").alias("k")).select("unit", "norm", "k.*")
@@ -129,27 +134,34 @@ def matches(units: DataFrame, templates: Templates) -> DataFrame:
 def license_scan(files: DataFrame, *, key: str = "doc_id", least: float = 0.75, templates=TEMPLATES, wrap: int = 4) -> DataFrame:
     """``files(<key>, path, text)`` -> key, path, header, header_cosine, is_licence_file, inherited_from, licence."""
     model = Templates(least, templates)
-    # The rows are written with their numbers, so that a number is one row's however often it is read.
-    rows = written(files.select(F.col(key), "path", "text").withColumn("row", F.monotonically_increasing_id()), "files")
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("part"), model.anchored(x).alias("hit")))
-    found = rows.where(model.anchored(F.col("text"))).select("row", "text", lines.alias("lines"))
-
-    def runs(n: int):
-        """Runs of n lines of which one has an anchor, with the line each begins at."""
-        at = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: i + n <= F.size("lines"))
-        mine = F.transform(at, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.slice("lines", i + 1, n).alias("of")))
-        mine = F.filter(mine, lambda w: F.exists(w["of"], lambda x: x["hit"]))
-        mine = F.transform(mine, lambda w: F.struct(w["i"].alias("i"), w["n"].alias("n"), F.array_join(F.transform(w["of"], lambda x: x["part"]), "\n").alias("part")))
-        return mine
-
-    one = F.array(F.struct(F.lit(-1).alias("i"), F.lit(0).alias("n"), F.col("text").alias("part")))
-    one = F.when(model.may_be_whole(F.col("text")), one).otherwise(F.slice(one, 1, 0))
-    units = found.select("row", F.explode(F.concat(one, *[runs(n) for n in range(1, wrap + 1)])).alias("u"))
-    units = units.select(F.struct("row", F.col("u.i").alias("i"), F.col("u.n").alias("n")).alias("unit"), "u.part")
+
+    def unit(i, n, of):
+        """A run of lines as (i, n, words), or an empty list where it can't match."""
+        none = F.struct(F.lit(0).alias("anchors"), F.lit(0).alias("own"), F.lit(0).alias("words"))
+        sums = F.aggregate(of, none, lambda a, x: F.struct((a["anchors"] + x["anchors"]).alias("anchors"), (a["own"] + x["own"]).alias("own"), (a["words"] + F.size(x["words"])).alias("words")), lambda a: model.may_match(a["anchors"], a["own"], a["words"]))
+        whole = F.array(F.struct(i.alias("i"), n.alias("n"), F.flatten(F.transform(of, lambda x: x["words"])).alias("words")))
+        return F.when(sums, whole).otherwise(F.slice(whole, 1, 0))
+
+    def runs(lines, n: int):
+        """Runs of n lines; their first lines' numbers are told by where they begin."""
+        at = F.sequence(F.lit(0), F.greatest(F.size(lines) - n, F.lit(0)))
+        return F.flatten(F.transform(at, lambda i: F.when(i + n <= F.size(lines), unit(i, F.lit(n), F.slice(lines, i + 1, n)))))
+
+    def units_of(lines):
+        some = F.concat(unit(F.lit(-1), F.lit(0), lines), *[F.coalesce(runs(lines, n), F.array()) for n in range(1, wrap + 1)])
+        return F.when(F.exists(lines, lambda x: x["anchors"] > 0), some)
+
+    # The lines are bound to a name by the outer transform, so that they are split once for all that reads them.
+    units = F.transform(F.array(F.transform(F.split("text", "\n"), model.counted)), units_of)[0]
+    units = F.when(model.anchored(F.col("text")), units)
+    # Written with their numbers, so that a number is one row's however often it is read; the text stays behind.
+    rows = written(files.select(F.col(key), "path", units.alias("units"), F.monotonically_increasing_id().alias("row")), "files")
+    found = rows.select("row", F.explode("units").alias("u"))
+    units = found.select(F.struct("row", F.col("u.i").alias("i"), F.col("u.n").alias("n")).alias("unit"), "u.words")
     hit = matches(units, model).select("unit.row", "unit.i", "unit.n", "licence", "cosine")
     best = lambda cond: F.min(F.when(cond, F.struct((-F.col("cosine")).alias("c"), "licence", "n", "i")))
     hit = hit.groupBy("row").agg(best(F.col("i") >= 0).alias("h"), best(F.col("i") < 0).alias("f"))
-    keyed = written(rows.drop("text").join(hit, "row", "left"), "licences")
+    keyed = written(rows.drop("units").join(hit, "row", "left"), "licences")
     discard(rows)
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     of_folder = keyed.where("f is not null and path is not null").groupBy(folder.alias("folder")).agg(F.min(F.struct("f.c", "f.licence"))["licence"].alias("of_folder"))
