@@ -34,7 +34,7 @@ FALLBACK = 10.0
 class Pieces:
     """A model file's pieces: encode and decode one text."""
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 1_200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
